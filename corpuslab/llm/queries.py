@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm import leaks, mixing, split, terms, tokens
+from corpuslab.llm import languages, leaks, mixing, pairs, split, terms, tokens
 from corpuslab.llm.oracles import ORACLES
 from corpuslab.sources.tables import table
 
@@ -49,6 +49,18 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_oversized(table(spark, root, "records"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Question and answer pairs that cannot be used, with the kind of defect."""
+    return pairs.broken_pairs(table(spark, root, "faq_export"), table(spark, root, "lang_samples"))
+
+
+def p6_report(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs per category and kind of defect."""
+    faq = table(spark, root, "faq_export").select("faq_id", "category").distinct()
+    found = p6_found(spark, root).join(faq, "faq_id")
+    return found.groupBy("category", "defect").agg(F.count("*").alias("n"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of evaluation item and document that share eight or more words in a row."""
     found = leaks.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
@@ -89,9 +101,28 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return shares.withColumn("actual_share", F.round("actual_share", 6))
 
 
+def _languages(spark: SparkSession, root: str) -> DataFrame:
+    return languages.document_languages(table(spark, root, "documents"), table(spark, root, "lang_samples"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or one of several languages."""
+    return languages.mislabelled(_languages(spark, root))
+
+
+def p9_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The main language of every document with its confidence."""
+    return _languages(spark, root).select("doc_id", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p9_segments(spark: SparkSession, root: str) -> DataFrame:
+    """The stretches of every document with their language and confidence."""
+    return languages.language_segments(_languages(spark, root))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_top_terms, p4_found, p4_totals, p5_found, p5_pieces, p7_found, p7_clean, p7_items, p8_found, p8_mix, p8_shares)
+    for f in (p2_found, p2_top_terms, p4_found, p4_totals, p5_found, p5_pieces, p6_found, p6_report, p7_found, p7_clean, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
