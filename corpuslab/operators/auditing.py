@@ -140,7 +140,7 @@ def evidence(answers: DataFrame, docs: DataFrame, qid: str, answer: str, key: st
     """
     words = F.array_distinct(tx.tokens(F.coalesce(F.col(answer), F.lit("")), "audit"))
     asked = F.broadcast(answers.select(qid, F.explode(words).alias("w")))
-    cut = docs.select(key, F.posexplode(F.transform(tx.sentences(F.col(text)), F.trim)).alias("pos", "s")).filter(F.length("s") > least)
+    cut = docs.select(key, F.posexplode(F.transform(tx.sentences(F.col(text)), lambda s: F.trim(s))).alias("pos", "s")).filter(F.length("s") > least)
     own = F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9$]+"), F.lit(0)))
     each = cut.select(key, "pos", "s", F.size(own).alias("size"), F.explode(own).alias("w"))
     shared = each.join(asked, "w").groupBy(qid, key, "pos", "s", "size").agg(F.count("*").alias("hit")).filter("hit >= 2")

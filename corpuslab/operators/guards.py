@@ -37,7 +37,7 @@ def best_sentence(answer: Column, text: Column, least: int = 25, most: int = 340
     """
     said = F.array_distinct(_tokens(F.coalesce(answer, F.lit(""))))
     figures = F.array_distinct(numbers(F.coalesce(answer, F.lit(""))))
-    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n"), F.trim), lambda s: F.length(s) >= least)
+    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
     def scored(s: Column, i: Column) -> Column:
         own = F.array_distinct(_tokens(s))

@@ -405,8 +405,8 @@ SELECT doc_id, md5(CASE WHEN length(s) > 520 THEN CASE WHEN b > 1 THEN '… ' EL
 SELECT claim, topic, sum(n)::BIGINT AS n, arg_max(term, n * 100 - place) AS best_term FROM per GROUP BY ALL""",
     "claim_snippets": f"""WITH c AS ({_CLAIMS}), d AS (SELECT doc_id, {_flat("coalesce(text, '')")} AS t FROM documents),
 p AS (SELECT doc_id, claim, term, t, string_split(lower(t), term) AS l FROM d JOIN c ON contains(lower(t), term)),
-e AS (SELECT doc_id, claim, t, length(term) AS n, unnest(list_transform(range(1, len(l)), lambda i: length(array_to_string(l[1:i], term)))) AS start FROM p),
-s AS (SELECT doc_id, claim, start, substr(t, greatest(0, start - 230) + 1, start + n + 230 - greatest(0, start - 230)) AS s FROM e)
+e AS (SELECT doc_id, claim, t, length(term) AS n, unnest(list_transform(range(1, len(l)), lambda i: list_sum(list_transform(l[1:i], lambda x: length(x) + length(term))) - length(term))) AS start FROM p),
+s AS (SELECT doc_id, claim, start, substr(t, (greatest(0, start - 230) + 1)::BIGINT, (start + n + 230 - greatest(0, start - 230))::BIGINT) AS s FROM e)
 SELECT doc_id, claim, min(start)::BIGINT AS start, length(arg_min(s, start)) AS chars FROM s WHERE NOT regexp_matches(s, '\\.{{6,}}') GROUP BY doc_id, claim, substr(s, 1, 50)""",
     "key_report": "SELECT key, hits, CASE WHEN hits = 0 THEN 'MISSING' WHEN len(string_split(key, ' ')) < 2 AND length(key) < 6 AND NOT regexp_matches(key, '[0-9$£€]') THEN 'too vague' WHEN hits > 15 THEN 'too common' ELSE 'ok' END AS verdict FROM ("
     + " UNION ALL ".join(f"SELECT '{k}' AS key, sum((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{k.lower()}', ''))) // {len(k)})::BIGINT AS hits FROM records" for k in KEYS)
