@@ -170,7 +170,7 @@ def elide(text: Column, limit: int) -> Column:
 
 
 def char_windows(text: Column, width: int = 420, stride: int = 260, least: int = 80) -> Column:
-    """Overlapping windows of characters as structs `(start, chunk)`, 0-based, of which those over `least` long are kept."""
+    """Overlapping windows of characters as structs `(start, chunk)`, 0-based, of which those over `least` long are kept; none for null."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(1)) - 1, F.lit(stride))
     windows = F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(text, i + 1, F.lit(width)).alias("chunk")))
     return F.filter(windows, lambda w: F.length(w["chunk"]) > least)
