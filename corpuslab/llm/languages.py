@@ -44,7 +44,8 @@ def fold(text: str) -> str:
 
 def ngram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`(row, bucket, count)` of the hashed n-grams of each text, in order of row."""
-    lines = [" " + " ".join(_WORD.findall(t.lower())) + " " for t in texts]
+    words = (" ".join(_WORD.findall(t.lower())) for t in texts)
+    lines = [f" {w} " if w else "" for w in words]
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     row = np.cumsum(codes == 10).astype(np.int64)
     keys = []
@@ -134,7 +135,7 @@ def similarities(texts: list[str], model: Model, chunk: int = 2000) -> np.ndarra
 
 def confidence(sims: np.ndarray, sharpness: float = 12.0) -> np.ndarray:
     """How clearly the nearest language wins, between 1 / number of languages and 1."""
-    power = np.maximum(sims, 1e-6) ** sharpness
+    power = np.maximum(sims.astype(np.float64), 1e-6) ** sharpness
     return power.max(-1) / power.sum(-1)
 
 
