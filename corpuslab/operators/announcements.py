@@ -27,11 +27,17 @@ _BODY = (
 )
 
 
+_DATES = [f".{m}.{d}" for m in META_NAMES for d in DATE_NAMES] + [f".{d}" for d in DATE_NAMES]
+_NAMES = [f".{x}" for x in (*ID_NAMES, *TITLE_NAMES)]
+_WANTED = rf"^(?:(?:.*\.)?announcements\[\]|\[\])(?:{'|'.join(x.replace('.', chr(92) + '.') for x in (*_NAMES, *_DATES))}|{_TAG[1:-1]}|{_BODY[1:-1]})$"
+_PARAGRAPH_GAP = r"\r?\n[\s\p{Z}]*\n"
+
+
 def announcement_levels(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
-    """Level sequences with ordinals of typed and of JSON exports together."""
+    """Level sequences with ordinals of typed and of JSON exports together, of the leaves that the tables below read."""
     typed = shred_column(exports, ["export_id"], "announcements", "typed", root=".announcements")
     raw = shred_json(raw_exports, ["export_id"], "payload", "raw")
-    return with_ordinals(typed.unionByName(raw))
+    return with_ordinals(typed.unionByName(raw).filter(F.col("path").rlike(_WANTED)))
 
 
 def _priority(rest: Column, paths: list[str]) -> Column:
@@ -47,7 +53,6 @@ def announcement_leaves(levels: DataFrame) -> DataFrame:
     """
     base, rest = F.regexp_extract("path", _ARRAY, 1), F.regexp_extract("path", _ARRAY, 2)
     depth = F.length(F.regexp_replace("base", r"[^\[]", ""))
-    dates = [f".{m}.{d}" for m in META_NAMES for d in DATE_NAMES] + [f".{d}" for d in DATE_NAMES]
     own = Window.partitionBy("source", "rec", "base", "ann_no")
 
     def first(wanted: Column) -> Column:
@@ -60,7 +65,7 @@ def announcement_leaves(levels: DataFrame) -> DataFrame:
         .withColumn("ann_no", F.get("ords", depth - 1))
         .withColumn("_id", first(_priority(F.col("rest"), [f".{x}" for x in ID_NAMES])))
         .withColumn("_title", first(_priority(F.col("rest"), [f".{x}" for x in TITLE_NAMES])))
-        .withColumn("_date", first(_priority(F.col("rest"), dates)))
+        .withColumn("_date", first(_priority(F.col("rest"), _DATES)))
         .select(
             "export_id", "source", "rec", "base", "ann_no", strip(F.col("_id.v")).alias("ann_id"), F.col("_title.v").alias("title"),
             date_as_written(F.col("_date.v"), F.col("_date.is_num")).alias("posted"), "rest", "ords", "seq", "v", "is_num",
@@ -95,7 +100,7 @@ def paragraphs_table(leaves: DataFrame) -> DataFrame:
     order = Window.partitionBy("source", "rec", "base", "ann_no").orderBy("ords", "seq", "_part")
     return (
         leaves.filter(F.col("rest").rlike(_BODY))
-        .select("*", F.posexplode(F.split("v", r"\r?\n[\s\p{Z}]*\n")).alias("_part", "paragraph"))
+        .select("*", F.posexplode(F.split("v", _PARAGRAPH_GAP)).alias("_part", "paragraph"))
         .filter(~is_blank(F.col("paragraph")))
         .withColumn("par_no", F.row_number().over(order))
         .select("export_id", "source", "rec", "base", "ann_no", "ann_id", "par_no", strip(F.col("paragraph")).alias("paragraph"))
@@ -109,9 +114,16 @@ def announcement_children(exports: DataFrame, raw_exports: DataFrame) -> DataFra
     senseless dates and invalid JSON give none; repeated announcements of one export give each child once.
     """
     leaves = announcement_leaves(announcement_levels(exports, raw_exports)).filter("ann_id is not null")
-    rows = [
-        leaves.filter("posted is not null").select("export_id", "ann_id", F.lit("posted").alias("child"), F.col("posted").alias("item")),
-        tags_table(leaves).select("export_id", "ann_id", F.lit("tag").alias("child"), F.col("tag").alias("item")),
-        paragraphs_table(leaves).select("export_id", "ann_id", F.lit("body").alias("child"), F.col("par_no").cast("string").alias("item")),
-    ]
-    return reduce(DataFrame.unionByName, rows).distinct()
+    rest = F.col("rest")
+    order = Window.partitionBy("source", "rec", "base", "ann_no").orderBy("ords", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    count = F.when(rest.rlike(_BODY), F.size(F.filter(F.split("v", _PARAGRAPH_GAP), lambda x: ~is_blank(x)))).otherwise(0)
+    counted = leaves.withColumn("_n", count).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)).cast("int"))
+    split_tags = F.filter(F.transform(F.when(rest.rlike("tags$"), F.split("v", "[,;]")).otherwise(F.array("v")), lambda t: F.lower(strip(t))), lambda t: t != "")
+    numbers = F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))
+    kinds = (
+        F.when(rest.isin(*_DATES), F.array(F.struct(F.lit("posted").alias("child"), F.col("posted").alias("item"))))
+        .when(rest.rlike(_TAG), F.transform(split_tags, lambda t: F.struct(F.lit("tag").alias("child"), t.alias("item"))))
+        .when(F.col("_n") > 0, F.transform(numbers, lambda i: F.struct(F.lit("body").alias("child"), i.cast("string").alias("item"))))
+    )
+    rows = counted.select("export_id", "ann_id", F.explode(kinds).alias("c")).select("export_id", "ann_id", "c.child", "c.item")
+    return rows.filter("item is not null").distinct()

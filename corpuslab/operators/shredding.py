@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Array depth up to which ordinals are kept.
-MAX_DEPTH = 8
+MAX_DEPTH = 6
 
 
 def _entry(path: str, r: Column, d: Column, value: Column, is_num: bool) -> Column:
