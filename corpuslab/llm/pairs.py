@@ -243,10 +243,10 @@ def tokens_of(sentence: str) -> list[str]:
     return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(sentence.lower())]
 
 
-def tail_contexts(fragment: str, longest: int) -> list[str]:
-    """The last 1 to `longest` tokens of an unfinished sentence, with '^' for its start; of a brief one the last two."""
+def tail_contexts(fragment: str, longest: int, brief: bool = False) -> list[str]:
+    """The last 1 to `longest` tokens of an unfinished sentence, with '^' for its start; of a brief answer the last two."""
     tokens = tokens_of(fragment)
-    if len(tokens) <= BRIEF:
+    if brief:
         return [" ".join(tokens[-k:]) for k in range(1, min(2, len(tokens)) + 1)]
     tokens = ["^", *tokens]
     return [" ".join(tokens[-k:]) for k in range(1, min(longest, len(tokens)) + 1)]
@@ -276,13 +276,13 @@ def judge_pair(question: str | None, answer: str | None, votes: dict[str, dict[s
     q_lang, _ = winner(language_votes(asked, votes))
     given = language_votes(_QUOTED.sub(" ", text), votes)
     a_lang, lead = winner(given)
-    if q_lang and a_lang and q_lang != a_lang and lead >= 1 and given[a_lang] >= 2 and given[q_lang] <= 0.5 * given[a_lang]:
+    if q_lang and a_lang and q_lang != a_lang and lead >= 1 and given[a_lang] >= 2 and given[q_lang] <= 0.67 * given[a_lang]:
         other = "other_language"
     if _ENDED.search(text) or text[-1] in ")”\"»'’]":
         return other, None, [], ""
     last = _SENTENCE.split(text)[-1]
     whole = tokens_of(text)
-    contexts = tail_contexts(last, longest)
+    contexts = tail_contexts(last, longest, len(whole) <= BRIEF)
     return None, other, contexts, " ".join(whole)
 
 
