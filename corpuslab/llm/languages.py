@@ -179,6 +179,16 @@ def paragraphs(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def bounded(text: str, start: int, stop: int, most: int = 2000) -> Iterator[tuple[int, int]]:
+    """A span as it is, or, if it has more than `most` characters without a sentence end, in parts cut at spaces."""
+    while stop - start > most:
+        cut = text.rfind(" ", start + 1, start + most)
+        cut = cut if cut > start else start + most
+        yield start, cut
+        start = cut
+    yield start, stop
+
+
 def _usable(sentence: str) -> str:
     """A sentence without short quoted phrases and line marks."""
     return _QUOTED.sub(" ", re.sub(r"\n\s*>?\s*", " ", sentence))
@@ -207,7 +217,7 @@ def label_documents(texts: list[str | None], model: Model, least_words: int = 3,
     for d, text in enumerate(texts):
         n = 0
         for p, spans in enumerate(paragraphs(text or "")):
-            for a, b in spans:
+            for a, b in (x for span in spans for x in bounded(text, *span)):
                 use = _usable(text[a:b])
                 if len(_WORD.findall(use)) >= least_words:
                     parts.append(_Part(d, p, a, b))

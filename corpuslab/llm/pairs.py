@@ -158,12 +158,12 @@ def copied(question: list[str], answer: list[str], least: int = 2) -> tuple[floa
         return 0.0, 0.0, answer
     lengths = SuffixAutomaton(question).match_lengths(answer)
     covered = [False] * len(answer)
-    longest = 0
-    for i, size in enumerate(lengths):
-        if size >= min(least, len(answer)):
-            longest = max(longest, size)
-            for j in range(i - size + 1, i + 1):
-                covered[j] = True
+    longest, reach = 0, len(answer)
+    for i in range(len(answer) - 1, -1, -1):  # from the right, so that overlapping stretches are walked once
+        if lengths[i] >= min(least, len(answer)):
+            longest = max(longest, lengths[i])
+            reach = min(reach, i - lengths[i] + 1)
+        covered[i] = reach <= i
     left = [w for w, c in zip(answer, covered, strict=True) if not c]
     return 1 - len(left) / len(answer), longest / len(question), left
 
