@@ -75,7 +75,64 @@ found AS (
   FROM refs LEFT JOIN parents ON refs.parent = parents.parent AND refs.key = parents.key WHERE refs.key IS NOT NULL)
 """
 
+_MONTH = "lpad(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left({0}, 3)))::VARCHAR, 2, '0')"
+_DATE_FORMS = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ].*)?$", 1, 2, 3, False),
+    (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3, False),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[T ].*)?$", 3, 2, 1, False),
+    (r"^(\d{1,2})\.? +([A-Za-z]{3,9})\.?,? +(\d{4})$", 3, 2, 1, True),
+    (r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})$", 3, 1, 2, True),
+)
+
+
+def _date_sql(text: str) -> str:
+    """The date that a text names, as a CASE over its notations."""
+    cases = []
+    for pattern, y, m, d, named in _DATE_FORMS:
+        part = {i: f"regexp_extract({text}, '{pattern}', {i})" for i in (1, 2, 3)}
+        month = _MONTH.format(part[m]) if named else f"lpad({part[m]}, 2, '0')"
+        cases.append(f"WHEN regexp_matches({text}, '{pattern}') THEN {part[y]} || '-' || {month} || '-' || lpad({part[d]}, 2, '0')")
+    return f"strftime(try_cast(CASE {' '.join(cases)} END AS DATE), '%Y-%m-%d')"
+
+
+def _place_sql(paths: list[str]) -> str:
+    return "CASE rest " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(paths)) + " END"
+
+
+_DATE_PATHS = [f".{m}.{d}" for m in ann.META_NAMES for d in ann.DATE_NAMES] + [f".{d}" for d in ann.DATE_NAMES]
+_SAID = r"[^\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+_P1 = rf"""
+WITH src AS (
+  SELECT export_id, 'typed' AS source, to_json({{'announcements': announcements}}) AS j FROM announcements
+  UNION ALL SELECT export_id, 'raw', payload::JSON FROM announcements_raw WHERE json_valid(payload)),
+tree AS (
+  SELECT export_id, source, id, type IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS num, atom ->> '$' AS v,
+    regexp_extract(fullkey, '^(\$(?:.*)?\.announcements\[\d+\])(.*)$', 1) AS base, regexp_replace(regexp_extract(fullkey, '^(\$(?:.*)?\.announcements\[\d+\])(.*)$', 2), '\[\d+\]', '[]', 'g') AS rest
+  FROM src, json_tree(j) WHERE atom IS NOT NULL AND type <> 'NULL'),
+known AS (SELECT *, regexp_matches(v, '{_SAID}') AS said, {_place_sql([f'.{x}' for x in ann.ID_NAMES])} AS ip, {_place_sql(_DATE_PATHS)} AS dp FROM tree WHERE base <> ''),
+own AS (
+  SELECT export_id, source, base, arg_min(v, ip) FILTER (said AND ip IS NOT NULL) AS iv, arg_min(v, dp) FILTER (said AND dp IS NOT NULL) AS dv, arg_min(num, dp) FILTER (said AND dp IS NOT NULL) AS dn
+  FROM known GROUP BY ALL),
+named AS (SELECT export_id, source, base, {_STRIP.format('iv')} AS ann_id, {_STRIP.format('dv')} AS dt, dn FROM own WHERE iv IS NOT NULL),
+leaf AS (SELECT k.*, ann_id FROM known k JOIN named USING (export_id, source, base)),
+tags AS (
+  SELECT export_id, ann_id, lower({_STRIP.format('t')}) AS item FROM (
+    SELECT export_id, ann_id, unnest(CASE WHEN rest LIKE '%tags' THEN regexp_split_to_array(v, '[,;]') ELSE [v] END) AS t FROM leaf
+    WHERE regexp_matches(rest, '^\.(?:(?:content|details)\.)?tags(?:\[\])*(?:\.(?:label|name))?$'))),
+paras AS (
+  SELECT export_id, ann_id, row_number() OVER (PARTITION BY export_id, source, base ORDER BY id, k)::VARCHAR AS item FROM (
+    SELECT export_id, source, base, ann_id, id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS t FROM (
+      SELECT *, regexp_split_to_array(v, '\r?\n[\s\p{{Z}}]*\n') AS l FROM leaf
+      WHERE regexp_matches(rest, '^\.(?:(?:content|details)\.)?body(?:\[\]|\.sections|\.paragraphs|\.(?:text|message|body|content|description|summary))*$')))
+  WHERE regexp_matches(t, '{_SAID}')),
+dates AS (SELECT export_id, ann_id, CASE WHEN dn THEN strftime(make_timestamp((try_cast(dt AS DOUBLE) * 1000000)::BIGINT), '%Y-%m-%d') ELSE {_date_sql('dt')} END AS item FROM named)
+SELECT DISTINCT export_id, ann_id, 'posted' AS child, item FROM dates WHERE item IS NOT NULL
+UNION ALL SELECT DISTINCT export_id, ann_id, 'tag', item FROM tags WHERE item <> ''
+UNION ALL SELECT DISTINCT export_id, ann_id, 'body', item FROM paras
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": _P1,
     "p3_found": _P3 + "SELECT ref_table, row_id, ref_month, reason FROM found WHERE reason IS NOT NULL",
     "p3_report": _P3 + "SELECT ref_table, ref_month, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
 }
