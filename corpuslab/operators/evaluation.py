@@ -9,17 +9,16 @@ from corpuslab.functions.text import squash_alnum
 from corpuslab.operators.ranking import containment_pairs
 
 
-def planted_questions(items: DataFrame, docs: DataFrame, key_chars: int = 60, query_words: int = 6) -> DataFrame:
+def planted_questions(items: DataFrame, docs: DataFrame, key_chars: int = 60) -> DataFrame:
     """Questions with ground truth that needs no model: `(qid, category, query, key, n_planted, document, expect)`.
 
-    The key is the start of the squashed passage, the query its last words; a question is answerable if a document
+    The key is the start of the squashed passage, the query the whole of it; a question is answerable if a document
     contains its key, and `document` is the source of the first such document.
     """
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     questions = items.select(
         F.col("item_id").alias("qid"),
         "category",
-        F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - query_words + 1, F.lit(1)), query_words)).alias("query"),
+        F.col("text").alias("query"),
         F.substring(squash_alnum(F.col("text")), 1, key_chars).alias("key"),
     )
     pairs = planted_pairs(questions, docs)

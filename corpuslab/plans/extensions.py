@@ -34,8 +34,8 @@ def event_window_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def proposed_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Keys proposed for the questions of the fixed evaluation set from the current documents."""
-    asked = table(spark, root, "eval_items").select(F.col("item_id").alias("qid"), F.regexp_extract("text", r"^[^.!?]*", 0).alias("query"))
+    """Keys proposed for the passages of the fixed evaluation set, asked whole, from the current documents."""
+    asked = table(spark, root, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return keys.proposed_keys(asked, table(spark, root, "documents").select("doc_id", "text"))
 
 

@@ -21,3 +21,21 @@ def test_evidence_takes_the_whole_passage(run):
     docs = [(1, "The defibrillator is kept behind the reception desk."), (2, "Nothing of that kind is written in this document.")]
     got = run("evidence_top3", eval_items=([(7, "safety", item)], "item_id long, category string, text string"), documents=(docs, "doc_id long, text string"))
     assert len(start) > 120 and [(r.qid, r.place, r.doc_id) for r in got] == [(7, 1, 1)]
+
+
+DOCUMENTS = "doc_id long, title string, text string, source string"
+ITEMS = "item_id long, category string, text string"
+PASSAGE = "Orange lanterns guide boats home. They hang along the eastern pier until the last sailor returns"
+
+
+def test_passages_are_asked_whole(run):
+    items = ([(7, "safety", PASSAGE)], ITEMS)
+    documents = ([(1, None, "orange lanterns", "a"), (2, None, "eastern boats and orange lanterns", "b"), (3, None, "nothing of the kind", "c")], DOCUMENTS)
+    got = {r.doc_id: r.score for r in run("bm25_top5", eval_items=items, documents=documents)}
+    assert got[2] > got[1] > got[3] == 0
+
+
+def test_keys_are_proposed_for_whole_passages(run):
+    documents = ([(1, None, "At the eastern pier 12 places are kept for visitors.", "a")], DOCUMENTS)
+    got = run("proposed_keys", eval_items=([(7, "safety", PASSAGE)], ITEMS), documents=documents)
+    assert [r.doc_id for r in got] == [1]
