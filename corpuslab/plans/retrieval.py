@@ -20,7 +20,9 @@ K = 5
 
 
 def _docs(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", "text", F.lower(F.trim("source")).alias("source"))
+    """Documents as they are ranked, counted and shown: title and text as one; null only if both are."""
+    whole = F.when(F.coalesce("title", "text").isNotNull(), F.concat_ws(" ", "title", "text"))
+    return table(spark, root, "documents").select("doc_id", whole.alias("text"), F.lower(F.trim("source")).alias("source"))
 
 
 def _questions(spark: SparkSession, root: str) -> DataFrame:

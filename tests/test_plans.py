@@ -39,3 +39,12 @@ def test_keys_are_proposed_for_whole_passages(run):
     documents = ([(1, None, "At the eastern pier 12 places are kept for visitors.", "a")], DOCUMENTS)
     got = run("proposed_keys", eval_items=([(7, "safety", PASSAGE)], ITEMS), documents=documents)
     assert [r.doc_id for r in got] == [1]
+
+
+def test_titles_are_indexed(run):
+    documents = ([(1, "Lanterns", "lie in the boathouse", "a"), (2, None, "lanterns", "b"), (3, "Lanterns", None, "c"), (4, None, None, "d")], DOCUMENTS)
+    assert {r.term: (r.df, r.cf) for r in run("term_df", documents=documents)}["lanterns"] == (3, 3)
+    lengths = {r.doc_id: r.dl for r in run("doc_len", documents=documents)}
+    assert (lengths[1], lengths[2], lengths[3], lengths[4]) == (3, 1, 1, 0)
+    got = {r.doc_id: r.score for r in run("bm25_top5", eval_items=([(7, "safety", "lanterns")], ITEMS), documents=documents)}
+    assert {k for k, v in got.items() if v > 0} == {1, 2, 3}
