@@ -30,12 +30,12 @@ RULES = {"environment": r"(^|/)\.env$", "handbook": r"^club-\d+", "notes": r"not
 
 
 def _answers(spark: SparkSession, root: str, step: int) -> DataFrame:
-    """`(qid, question, answer, context, expect, retrieved)` of every pair whose record, or that of the step-th next, exists."""
+    """`(qid, question, answer, context, expect, retrieved)` of every pair, judged against its record or that of the step-th next, if any."""
     faq = table(spark, root, "faq_export").select("faq_id", "question", "answer").distinct()
     other = F.concat(F.lit("faq-F"), F.lpad((F.substring("faq_id", 2, 20).cast("long") + step).cast("string"), 7, "0"))
     texts = current_rows(table(spark, root, "records"), F.col("doc_id"), ["text"]).select(F.col("key").alias("_d"), F.col("text").alias("context"))
     expect = F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) >= 20, "answerable").otherwise("refuse")
-    joined = faq.withColumn("_d", other).join(texts, "_d").drop("_d")
+    joined = faq.withColumn("_d", other).join(texts, "_d", "left").drop("_d")
     key = F.substring(tx.squash(F.coalesce("answer", F.lit(""))), 1, 20)
     retrieved = F.contains(tx.squash(F.coalesce("context", F.lit(""))), key).cast("int")
     return joined.select(F.col("faq_id").alias("qid"), "question", "answer", "context", expect.alias("expect"), retrieved.alias("retrieved"))

@@ -48,3 +48,13 @@ def test_titles_are_indexed(run):
     assert (lengths[1], lengths[2], lengths[3], lengths[4]) == (3, 1, 1, 0)
     got = {r.doc_id: r.score for r in run("bm25_top5", eval_items=([(7, "safety", "lanterns")], ITEMS), documents=documents)}
     assert {k for k, v in got.items() if v > 0} == {1, 2, 3}
+
+
+def test_answers_without_a_record_are_judged(run):
+    faq = [(f"F000000{i}", "When is the levy due?", "The levy is due in March every year.") for i in (1, 2, 3)]
+    records = [("faq-F0000002", "The levy is due in March every year. Pay at the gate.", "2025-01-01")]
+    tables = {"faq_export": (faq, "faq_id string, question string, answer string"), "records": (records, "doc_id string, text string, loaded_at string")}
+    assert {r.qid: r.grounding for r in run("grounding", **tables)} == {"F0000001": 1.0, "F0000002": 0.0, "F0000003": 0.0}
+    assert {r.qid: r.reason for r in run("guard_reason", **tables)} == {"F0000001": "", "F0000002": "grounding", "F0000003": "grounding"}
+    assert {(r.run, r.verdict): r.n for r in run("run_totals", **tables)} == {("a", "SUPPORTED"): 1, ("a", "UNSUPPORTED"): 2, ("b", "SUPPORTED"): 1, ("b", "UNSUPPORTED"): 2}
+    assert {r.qid: r.change for r in run("run_diff", **tables)} == {"F0000001": "FIXED", "F0000002": "BROKE"}
