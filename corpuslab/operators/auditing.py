@@ -173,11 +173,11 @@ def audit_sample(judged: DataFrame, n: int) -> DataFrame:
 
 
 def coverage(questions: DataFrame, categories: list[str], least: int = 25, least_refuse: int = 5) -> DataFrame:
-    """Questions per category, unused ones with 0, and a row 'total' that says whether the set is large enough."""
+    """Questions per category, stated or not, unused ones with 0, and a row 'total' that says whether the set is large enough."""
     spark = questions.sparkSession
     counts = questions.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("expect") == "refuse").alias("refuse"))
-    dim = F.broadcast(spark.createDataFrame([(c,) for c in categories], "category string"))
-    per = dim.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("refuse", F.lit(0)).alias("refuse"), F.lit(None).cast("boolean").alias("enough"))
+    dim = spark.createDataFrame([(c,) for c in categories], "category string")
+    per = dim.join(counts, "category", "full").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("refuse", F.lit(0)).alias("refuse"), F.lit(None).cast("boolean").alias("enough"))
     total = questions.agg(F.count("*").alias("n"), F.count_if(F.col("expect") == "refuse").alias("refuse"))
     return per.unionByName(total.select(F.lit("total").alias("category"), "n", "refuse", ((F.col("n") >= least) & (F.col("refuse") >= least_refuse)).alias("enough")))
 

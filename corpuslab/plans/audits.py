@@ -170,7 +170,7 @@ def evidence_top3(spark: SparkSession, root: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, root: str) -> DataFrame:
-    """Questions per category with empty ones."""
+    """Questions per category, those of the table and stated ones that are empty."""
     return auditing.coverage(table(spark, root, "questions_public"), ["fees", "kit", "safety", "travel", "weather"])
 
 

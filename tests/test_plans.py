@@ -58,3 +58,9 @@ def test_answers_without_a_record_are_judged(run):
     assert {r.qid: r.reason for r in run("guard_reason", **tables)} == {"F0000001": "", "F0000002": "grounding", "F0000003": "grounding"}
     assert {(r.run, r.verdict): r.n for r in run("run_totals", **tables)} == {("a", "SUPPORTED"): 1, ("a", "UNSUPPORTED"): 2, ("b", "SUPPORTED"): 1, ("b", "UNSUPPORTED"): 2}
     assert {r.qid: r.change for r in run("run_diff", **tables)} == {"F0000001": "FIXED", "F0000002": "BROKE"}
+
+
+def test_coverage_has_every_category(run):
+    questions = [("kit", "answerable"), ("kit", "refuse"), ("media", "refuse"), (None, "answerable")]
+    got = {r.category: (r.n, r.refuse) for r in run("coverage", questions_public=(questions, "category string, expect string"))}
+    assert got == {"kit": (2, 1), "media": (1, 1), None: (1, 0), "fees": (0, 0), "safety": (0, 0), "travel": (0, 0), "weather": (0, 0), "total": (4, 2)}
