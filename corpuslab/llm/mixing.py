@@ -93,12 +93,13 @@ def schedule(plan: DataFrame, slots: int = SLOTS) -> DataFrame:
 def scheduled_shortages(plan: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Sources that cannot reach their target share: those whose blocks the schedule runs out of, checked in tokens.
 
-    A source with fewer placed blocks than it is due is short by at least part of a block; one that fills its last block
-    only in part is found by the exact comparison of tokens.
+    The schedule gives the candidates: sources with fewer placed blocks than they are due, or whose supply fills the last
+    placed block only in part (the 1e-9 is that of `due_blocks`). They are compared exactly in tokens.
     """
     placed = schedule(plan, slots).groupBy("source").agg(F.max("block_no").alias("placed"))
     held = plan.join(F.broadcast(placed), norm_key(plan["source"]) == placed["source"], "left").select(plan["*"], F.coalesce("placed", F.lit(0)).alias("placed"))
-    return held.filter((F.col("placed") <= F.col("due_blocks")) & (F.col("supply") < F.col("demand"))).select("source")
+    run_out = (F.col("placed") < F.col("due_blocks")) | (F.col("supply") < (F.col("placed") + 1e-9) * F.col("block"))
+    return held.filter(run_out & (F.col("supply") < F.col("demand"))).select("source")
 
 
 def mix(sized: DataFrame, plan: DataFrame, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
