@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 
 import __spark_entry__ as entry
@@ -64,3 +66,9 @@ def test_coverage_has_every_category(run):
     questions = [("kit", "answerable"), ("kit", "refuse"), ("media", "refuse"), (None, "answerable")]
     got = {r.category: (r.n, r.refuse) for r in run("coverage", questions_public=(questions, "category string, expect string"))}
     assert got == {"kit": (2, 1), "media": (1, 1), None: (1, 0), "fees": (0, 0), "safety": (0, 0), "travel": (0, 0), "weather": (0, 0), "total": (4, 2)}
+
+
+def test_open_windows_come_out(run):
+    events = [(datetime(2025, 1, 1, 10, m), "click", 1.5) for m in (0, 1, 30, 31, 32)]
+    got = run("event_window_stream", events=(events, "ts timestamp, event_type string, value double"))
+    assert sorted((r.n, r.total) for r in got) == [(2, 3.0), (3, 4.5)]
