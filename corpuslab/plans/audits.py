@@ -301,7 +301,7 @@ def _sentences(c: str) -> str:
 def _answers_sql(step: int, name: str) -> str:
     return f"""{name} AS (SELECT f.faq_id AS qid, question, answer, t.text AS context, CASE WHEN length(trim(coalesce(answer, ''))) >= 20 THEN 'answerable' ELSE 'refuse' END AS expect,
   contains({_squash("coalesce(t.text, '')")}, substr({_squash("coalesce(answer, '')")}, 1, 20))::INT AS retrieved
-  FROM (SELECT DISTINCT faq_id, question, answer FROM faq_export) f JOIN cur t ON t.doc_id = 'faq-F' || lpad((substr(faq_id, 2)::BIGINT + {step})::VARCHAR, 7, '0'))"""
+  FROM (SELECT DISTINCT faq_id, question, answer FROM faq_export) f LEFT JOIN cur t ON t.doc_id = 'faq-F' || lpad((substr(faq_id, 2)::BIGINT + {step})::VARCHAR, 7, '0'))"""
 
 
 def _guarded_sql(source: str, name: str) -> str:
@@ -411,14 +411,14 @@ SELECT doc_id, claim, min(start)::BIGINT AS start, length(arg_min(s, start)) AS
     "key_report": "SELECT key, hits, CASE WHEN hits = 0 THEN 'MISSING' WHEN len(string_split(key, ' ')) < 2 AND length(key) < 6 AND NOT regexp_matches(key, '[0-9$£€]') THEN 'too vague' WHEN hits > 15 THEN 'too common' ELSE 'ok' END AS verdict FROM ("
     + " UNION ALL ".join(f"SELECT '{k}' AS key, sum((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{k.lower()}', ''))) // {len(k)})::BIGINT AS hits FROM records" for k in KEYS)
     + ")",
-    "evidence_top3": f"""WITH a AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 120)), '[a-z0-9$]+'), lambda t: length(t) >= 3 AND t NOT IN ({_list(tx.STOP_AUDIT)})))) AS w FROM eval_items),
+    "evidence_top3": f"""WITH a AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: length(t) >= 3 AND t NOT IN ({_list(tx.STOP_AUDIT)})))) AS w FROM eval_items),
 c AS (SELECT doc_id, pos, trim(s) AS s FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS s FROM (SELECT doc_id, {_sentences('text')} AS l FROM documents)) WHERE length(trim(s)) > 25),
 o AS (SELECT doc_id, pos, s, list_distinct(regexp_extract_all(lower(s), '[a-z0-9$]+')) AS own FROM c),
 h AS (SELECT qid, doc_id, pos, s, round(count(*) / pow(len(own), 0.4), 6) AS score FROM (SELECT *, unnest(own) AS w FROM o) JOIN a USING (w) GROUP BY qid, doc_id, pos, s, own HAVING count(*) >= 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY qid, substr(s, 1, 40) ORDER BY score DESC, doc_id, pos) AS nth FROM h)
 SELECT qid, place, doc_id, md5(s) AS sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, pos) AS place FROM b WHERE nth = 1) WHERE place <= 3""",
     "coverage": """WITH dim AS (SELECT unnest(['fees', 'kit', 'safety', 'travel', 'weather']) AS category)
-SELECT category, coalesce(n, 0) AS n, coalesce(refuse, 0)::BIGINT AS refuse, NULL::BOOLEAN AS enough FROM dim LEFT JOIN (SELECT category, count(*) AS n, count_if(expect = 'refuse') AS refuse FROM questions_public GROUP BY 1) USING (category)
+SELECT category, coalesce(n, 0) AS n, coalesce(refuse, 0)::BIGINT AS refuse, NULL::BOOLEAN AS enough FROM dim FULL JOIN (SELECT category, count(*) AS n, count_if(expect = 'refuse') AS refuse FROM questions_public GROUP BY 1) USING (category)
 UNION ALL SELECT 'total', count(*), count_if(expect = 'refuse')::BIGINT, count(*) >= 25 AND count_if(expect = 'refuse') >= 5 FROM questions_public""",
     "leak_window_hits": _WINDOWS + "SELECT doc_id, start, item_id FROM hits",
     "leak_by_doc": _WINDOWS + "SELECT doc_id, count(*) AS hits, count(DISTINCT item_id) AS items FROM hits GROUP BY 1",

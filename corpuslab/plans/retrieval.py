@@ -182,14 +182,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _STOP = ", ".join(f"'{w}'" for w in STOP_RANK)
 _RANK = f"list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9$£€.\\-/]+'), lambda t: t NOT IN ({_STOP}))"
 _BASE = f"""
-WITH docs AS (SELECT doc_id, text, lower(trim(source)) AS source FROM documents WHERE doc_id IS NOT NULL),
+WITH docs AS (SELECT doc_id, CASE WHEN coalesce(title, text) IS NOT NULL THEN concat_ws(' ', title, text) END AS text, lower(trim(source)) AS source FROM documents WHERE doc_id IS NOT NULL),
 toks AS (SELECT doc_id, {_RANK.format('text')} AS t FROM docs),
 lens AS (SELECT doc_id, coalesce(len(t), 0) AS dl FROM toks),
 tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)
 """
 _QUERY = f"""
-, words AS (SELECT item_id AS qid, category, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM eval_items),
-qs AS (SELECT qid, category, array_to_string(w[greatest(len(w) - 5, 1):], ' ') AS query, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 60) AS key FROM words),
+, qs AS (SELECT item_id AS qid, category, text AS query, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 60) AS key FROM eval_items),
 qt AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest({_RANK.format('query')}) AS term FROM qs) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term, n),
