@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.skew import join_unique
+from corpuslab.session import cut_lineage
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_TOKEN = re.compile(r"\d+(?:[.:,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]")
+_TOKEN = re.compile(r"\d+(?:[.:,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?…]+|[,;:]|[\n\0]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
+_CLAUSE = re.compile(r"[.!?…,;:—–\n]+")
 _QUOTED = re.compile(r"[“\"«„][^“”\"«»„]{0,80}[”\"»“]")
-_ENDED = re.compile(r"[.!?][\"'”’»)\]]*$")
+_CLOSERS, _ENDS = "\"'”’»)]", tuple(".!?")
+_OPENED = re.compile(r"[“\"«„]")
+_SAID = re.compile(r"[^\W_]")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 #: Answers that hold a place and say nothing, without outer punctuation and in lower case.
 PLACEHOLDERS = frozenset(
@@ -24,51 +32,15 @@ PLACEHOLDERS = frozenset(
     "placeholder|no answer|empty|blank|test|lorem ipsum|xxx|folgt|à compléter|por definir|a definir|por completar|volgt|k.a|s/o".split("|")
 )
 
-#: Words around a copied question that add nothing to it.
-COURTESY = frozenset(
-    "re fw fwd thanks thank you good great question q a hello hi dear regards please ok okay sure well asking your for the "
-    "danke merci gracias bedankt dank obrigado obrigada vielen frage vraag pregunta pergunta bonne buena goede gute boa très "
-    "you asked asks we were on subject about copy of".split()
+#: Words of greeting, thanks and talk about the question itself, which answer nothing.
+ACKNOWLEDGING = frozenset(
+    "re fw fwd thanks thank great good question questions query queries enquiry inquiry message q a hello hi dear regards please ok okay sure well "
+    "asking asked asks ask pleased glad happy welcome appreciate appreciated receive received receiving noted reply replying contacting writing "
+    "subject copy danke vielen frage anfrage merci bonne demande gracias pregunta consulta buena bedankt dank vraag goede obrigado obrigada pergunta boa".split()
 )
 
-#: Phrases by which an answer declines or says that the answer is not known, in six languages.
-REFUSALS = (
-    # English
-    "i can't answer", "i cannot answer", "i can not answer", "can't answer that", "cannot answer that", "not able to answer",
-    "unable to answer", "i can't help", "i cannot help", "i am not able to help", "i'm not able to help", "not able to help with this",
-    "unable to help with", "i'm unable to", "i am unable to", "i must decline", "i have to decline", "i decline to",
-    "i would rather not", "i'd rather not", "i prefer not to", "outside what i can", "beyond what i can", "i have no information",
-    "i have no details", "i don't have any details", "i don't have any information", "i do not have any", "i don't have that information",
-    "i don't have information", "i don't have access", "i do not have access", "i don't know", "i do not know", "i'm not sure",
-    "i am not sure", "no way for me to tell", "i can't say", "i cannot say", "i can't tell", "i cannot tell", "i could not find",
-    "i couldn't find", "i can't find", "i cannot find", "the documents do not say", "the documents don't say", "the documents do not mention",
-    "the handbook does not say", "the handbook doesn't say", "nothing in the handbook", "nothing in the documents", "nothing in my sources",
-    "not covered in the", "not covered by the", "the answer is not known", "that is not known", "this is not known", "it is not known",
-    "no information available", "as an ai", "as a language model", "can't provide", "cannot provide", "not something i can", "i won't answer",
-    "i will not answer", "can't assist", "cannot assist", "can't comment", "cannot comment", "i have no idea", "no idea",
-    # German
-    "kann ich diese frage nicht", "kann ich nicht beantworten", "diese frage nicht beantworten", "das kann ich nicht", "dazu kann ich",
-    "darüber liegen mir keine", "liegen mir keine", "dazu steht nichts", "darüber steht nichts", "steht nichts im handbuch",
-    "dazu habe ich keine", "darüber habe ich keine", "ich habe keine information", "ich habe keine angaben", "das weiß ich nicht",
-    "weiß ich leider nicht", "ich weiß es nicht", "ich weiß nicht", "ist mir nicht bekannt", "kann ich leider nicht", "keine auskunft",
-    # French
-    "je ne peux pas répondre", "je ne peux pas vous", "je ne suis pas en mesure", "je ne sais pas", "je n'ai aucune information",
-    "je n'ai pas d'information", "je n'ai pas cette information", "je n'ai pas l'information", "je n'ai aucun renseignement",
-    "le guide n'en parle pas", "n'en parle pas", "ne dit rien à ce sujet", "ne dit rien sur", "je ne dispose pas", "je préfère ne pas",
-    "impossible de répondre", "je l'ignore",
-    # Spanish
-    "no puedo responder", "no puedo contestar", "no puedo ayudar", "no dispongo de", "no tengo esa información", "no tengo información",
-    "no tengo datos", "no tengo ese dato", "no lo sé", "no sé", "el manual no dice", "no dice nada", "la guía no dice", "prefiero no",
-    "no estoy en condiciones", "no me consta", "desconozco",
-    # Dutch
-    "kan ik geen antwoord", "daar kan ik geen", "kan ik niet beantwoorden", "ik kan deze vraag niet", "ik kan die vraag niet", "ik kan dat niet",
-    "ik heb daar geen", "ik heb geen gegevens", "ik heb geen informatie", "ik heb hier geen", "het handboek zegt hier niets", "zegt hier niets over",
-    "zegt daar niets over", "ik weet het niet", "dat weet ik niet", "weet ik niet", "staat niet in het handboek", "liever niet",
-    # Portuguese
-    "não consigo responder", "não posso responder", "não posso ajudar", "não tenho essa informação", "não tenho informação",
-    "não tenho informações", "não tenho dados", "não disponho", "não sei", "o manual não diz", "não diz nada", "prefiro não",
-    "o guia não diz", "desconheço",
-)
+#: Words that are an answer by themselves although they are frequent function words.
+ANSWERING = frozenset("yes no ja nein oui non sí nee sim não never always".split())
 
 #: Frequent function words of each language.
 STOPWORDS = {
@@ -79,28 +51,87 @@ STOPWORDS = {
     "nl": "het de een van en is in zijn voor op met bij wie wat waar wanneer hoe we niet te naar om aan wordt worden dat die nog dit moeten hoeveel er als alle gaat komt uur onze deze zo hebben geen",
     "pt": "o a os as de do da dos das e em é são para com por um uma que quem quando quanto onde no na nos nas ao aos se sua não antes este esta como ainda temos têm qualquer até pelo pela",
 }
+_FUNCTION_WORDS = frozenset(w for words in STOPWORDS.values() for w in words.split()) - ANSWERING
+
+#: Articles, possessives, conjunctions and prepositions after which a sentence of the language goes on.
+CONNECTORS = {
+    "en": "the a an and or but because if that which whose my your our their its of from at with into between during than per very",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber weil dass wenn mit von für bei zum zur vom im ins",
+    "fr": "le la les un une des du de et ou mais que qui pour par avec dans sur aux au leur sa son ses ma mon sans chez",
+    "es": "el la los las un una de del y o pero que para por con en al su sus sin",
+    "nl": "de het een en of maar dat van met",
+    "pt": "o a os as um uma de do da dos das e ou mas que para por com em no na ao à seu sua sem",
+}
+_CONNECTORS = {lang: frozenset(words.split()) for lang, words in CONNECTORS.items()}
+
+#: How a text declines or says that it does not know, as sequences of word classes; `a|b` are alternatives.
+REFUSAL_FORMS = (
+    # English: somebody - cannot or will not - answers
+    ("i|we", "can't|cannot|can not|could not|couldn't|am unable to|are unable to|am not able to|are not able to|won't|will not|would rather not|would prefer not to|prefer not to|must decline to|have to decline to|decline to|am not in a position to|are not in a position to|am not allowed to|don't want to",
+     "answer|respond|reply|comment|say|tell|advise|assist|help with this|help with that|help with it|help you|help here|find that|find this|find it|find any|find anything|find the answer|find an answer|locate|give an answer|give you an answer|give that|provide an answer|provide that|provide this|provide details|provide information|share that|share this|discuss this|discuss that"),
+    ("i'm unable to|we're unable to|i'm not able to|we're not able to|i'd rather not|we'd rather not|i'd prefer not to|we'd prefer not to|i'm not in a position to|i'm not allowed to",
+     "answer|respond|reply|comment|say|tell|advise|assist|help with this|help with that|help with it|help you|help here|find that|find this|find it|find any|find anything|find the answer|locate|give an answer|give you an answer|give that|provide an answer|provide that|provide this|provide details|provide information|share that|share this|discuss this|discuss that"),
+    ("i|we", "must decline|have to decline|don't know|do not know|have no idea|have no information|have no details|have no answer|have no knowledge|have no data|have no record"),
+    ("i|we", "don't have|do not have|lack", "any details|any information|any data|that information|this information|information|the information|enough information|an answer|the answer|that answer|access to"),
+    ("i'm not sure|i am not sure|i'm afraid i don't know|i'd rather leave|i would rather leave|we'd rather leave|we would rather leave|something i can't|something i cannot|not something i can|not something we can",),
+    ("outside|beyond", "what", "i can|we can"),
+    ("outside|beyond", "my|our", "remit|scope|knowledge|expertise|competence|reach|brief"),
+    ("no way", "for me to tell|for us to tell|to tell|of knowing|for me to know|to know"),
+    ("nothing in", "the|my|our|these", "handbook|documents|sources|pages|guide|notes|text"),
+    ("handbook|documents|guide|pages|sources|text|manual|notes", "do not|does not|don't|doesn't", "say|mention|cover|tell|state|answer"),
+    ("not covered|not mentioned|not stated|not answered|not addressed", "in|by", "the|my|our", "handbook|documents|guide|pages|sources|text|manual|notes"),
+    ("the answer|that|this|it", "is not known|is unknown|isn't known"),
+    ("no information available|no information on|no details available",),
+    # German
+    ("kann|können", "ich|wir", "ihnen|dir|euch|das|dies|diese frage|dazu|darauf|hierzu|dabei", "leider|", "nicht|keine|nichts", "beantworten|sagen|antworten|helfen|antwort|auskunft|angaben"),
+    ("ich|wir", "kann|können", "das|dies|diese frage|dazu|darauf|hierzu|ihnen", "leider|", "nicht|keine|nichts", "beantworten|sagen|antworten|helfen|antwort|auskunft|angaben"),
+    ("das|dies|diese frage|dazu|darauf|hierzu", "kann|können", "ich|wir", "leider|", "nicht|keine|nichts", "beantworten|sagen|antworten|helfen|antwort|auskunft|angaben"),
+    ("liegen|liegt", "mir|uns", "dazu|darüber|", "leider|", "keine|nichts"),
+    ("dazu|darüber|hierzu", "steht|finde ich|habe ich|haben wir", "leider|", "nichts|keine"),
+    ("steht nichts im|steht nicht im|nicht im", "handbuch"),
+    ("ich habe|wir haben", "dazu|darüber|hierzu|leider|", "keine", "information|informationen|angaben|auskunft|antwort|ahnung"),
+    ("das weiß ich|ich weiß es|ich weiß das|weiß ich|ich weiß", "leider|", "nicht"),
+    ("ist mir|ist uns", "leider|", "nicht bekannt"),
+    # French
+    ("je|nous", "ne", "peux|pouvons|suis|sommes|souhaite|préfère", "pas", "répondre|vous|y|en mesure|le|dire|commenter"),
+    ("je ne sais pas|nous ne savons pas|je l'ignore|nous l'ignorons|impossible de répondre|impossible de vous répondre|je préfère ne pas|n'en parle pas|n'en disent rien",),
+    ("je n'ai|nous n'avons|je ne dispose|nous ne disposons", "aucune|aucun|pas|pas d'|d'aucune", "information|renseignement|d'information|d'informations|cette information|l'information|de cette information|la réponse|réponse|idée"),
+    ("ne dit rien|ne disent rien|ne précise rien", "à ce sujet|sur|là"),
+    # Spanish
+    ("no puedo|no podemos|no sé|no sabemos|no estoy en condiciones de|prefiero no|preferimos no", "responder|contestar|decirle|decirlo|decir|ayudarle|ayudar|comentar|opinar"),
+    ("no dispongo de|no disponemos de|no tengo|no tenemos", "esa información|información|esos datos|datos|ese dato|la respuesta|detalles|ningún dato|ninguna información"),
+    ("no lo sé|no lo sabemos|no me consta|lo desconozco|desconozco la respuesta",),
+    ("el manual|la guía|el documento|los documentos", "no", "dice|dicen|menciona|mencionan", "nada|"),
+    # Dutch
+    ("daar|hier|dat|deze vraag|die vraag", "kan|kunnen", "ik|we|wij", "helaas|", "geen antwoord|niet beantwoorden|niets over zeggen|geen uitspraak|niet op antwoorden|niet mee helpen"),
+    ("ik|we|wij", "kan|kunnen", "deze vraag|die vraag|dat|dit|hier|daar|u", "helaas|", "niet beantwoorden|geen antwoord|niet zeggen|niet helpen|niet mee helpen"),
+    ("ik heb|we hebben|wij hebben", "daar|hier|er|daarover|hierover|", "helaas|", "geen", "gegevens|informatie|antwoord|idee"),
+    ("zegt|zeggen|staat|vermeldt", "hier|daar|er|hierover|daarover", "niets"),
+    ("ik weet het|dat weet ik|dat weet ik helaas|ik weet dat|weet ik", "niet"),
+    ("staat niet in het handboek|zeg ik liever niet|geef ik liever geen antwoord",),
+    # Portuguese
+    ("não consigo|não posso|não podemos|não sei|não sabemos|prefiro não|preferimos não", "responder|ajudar|dizer|comentar|opinar"),
+    ("não tenho|não temos|não disponho de|não dispomos de", "essa informação|informação|informações|esses dados|dados|a resposta|detalhes|nenhuma informação|dessa informação"),
+    ("não sei|desconheço a resposta|não me compete responder",),
+    ("o manual|o guia|o documento|os documentos", "não", "diz|dizem|menciona|mencionam", "nada|"),
+    # Italian, Catalan, Danish, Swedish, Polish
+    ("non", "posso|possiamo|sono in grado di|siamo in grado di|so|riesco a", "rispondere|dire|dirlo|aiutare|aiutarla|commentare|trovare"),
+    ("non lo so|non lo sappiamo|non saprei|non ho informazioni|non ho questa informazione|non ho dati|non dispongo di|preferisco non rispondere|il manuale non dice",),
+    ("no ho sé|no puc respondre|no tinc aquesta informació|jeg ved det ikke|det ved jeg ikke|kan jeg ikke svare|jag vet inte|det vet jag inte|kan jag inte svara|nie wiem|nie mogę odpowiedzieć",),
+)
 
-
-def voters(samples: list[tuple[str | None, str | None]]) -> dict[str, dict[str, float]]:
-    """Votes of words: stopwords, split where languages share one, and words that labelled samples have in one language only."""
-    seen: dict[str, set[str]] = {}
-    for lang, words in STOPWORDS.items():
-        for w in words.split():
-            seen.setdefault(w, set()).add(lang)
-    shared = set(seen)
-    for lang, text in samples:
-        for w in _WORD.findall((text or "").lower()):
-            if lang and w not in shared:
-                seen.setdefault(w, set()).add(lang)
-    return {w: dict.fromkeys(langs, 1 / len(langs)) for w, langs in seen.items() if w in shared or len(langs) == 1}
-
-
-#: A whole answer of at most so many tokens may be a phrase ("The head coach") rather than a sentence.
-BRIEF = 5
-
-
-#: How much less likely an end is after two tokens that no sentence has in a row, as after half a word.
-UNSEEN = 0.3
+#: Words that put what follows under a condition or into the mouth of somebody else.
+_REPORTED = frozenset(
+    "if when whenever unless says say said sign reads asks whoever anyone who wenn sagt sagen wer si dit disent quand quiconque cuando dice dicen quien als zegt zeggen wie se quando diz dizem quem".split()
+)
+#: Words that turn a sentence.
+_TURNS = frozenset("but however instead although aber jedoch mais toutefois pero maar mas porém ma però".split())
+#: First words of sentences that send the reader elsewhere.
+_REFERRING = frozenset(
+    "please try contact ask see call check speak email write bitte fragen wenden veuillez contactez demandez contacte pregunte póngase por neem vraag contacteer pergunte contacte fale rivolgersi contatti".split()
+)
+#: Words that may stand anywhere in a refusal without changing it.
+_FILLERS = frozenset("really simply just also currently sadly unfortunately definitely honestly actually sorry".split())
 
 
 class SuffixAutomaton:
@@ -152,10 +183,10 @@ class SuffixAutomaton:
         return out
 
 
-def copied(question: list[str], answer: list[str], least: int = 2) -> tuple[float, float, list[str]]:
-    """Share of the answer's and of the question's words in copied stretches of `least` words or more, and the other words."""
+def covered_words(question: list[str], answer: list[str], least: int = 2) -> tuple[list[bool], float]:
+    """Which words of the answer stand in copied stretches of `least` words or more, and the longest as a share of the question."""
     if not question or not answer:
-        return 0.0, 0.0, answer
+        return [False] * len(answer), 0.0
     lengths = SuffixAutomaton(question).match_lengths(answer)
     covered = [False] * len(answer)
     longest, reach = 0, len(answer)
@@ -164,52 +195,55 @@ def copied(question: list[str], answer: list[str], least: int = 2) -> tuple[floa
             longest = max(longest, lengths[i])
             reach = min(reach, i - lengths[i] + 1)
         covered[i] = reach <= i
-    left = [w for w, c in zip(answer, covered, strict=True) if not c]
-    return 1 - len(left) / len(answer), longest / len(question), left
-
+    return covered, longest / len(question)
 
-def language_votes(text: str, votes: dict[str, dict[str, float]]) -> Counter[str]:
-    """The sum of the votes of a text's words for each language."""
-    total: Counter[str] = Counter()
-    for w in _WORD.findall(text.lower()):
-        for part in (w, *w.split("'")) if "'" in w else (w,):
-            total.update(votes.get(part, {}))
-    return total
-
-
-def winner(total: Counter[str]) -> tuple[str | None, float]:
-    """The language with most votes and its lead over the next, None without a lead."""
-    ranked = total.most_common(2)
-    lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0) if ranked else 0.0
-    return (ranked[0][0] if lead > 0 else None), lead
-
-
-def open_delimiters(text: str) -> int:
-    """Opening brackets and quotes without their closing one, by a stack."""
-    pairs = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-    stack: list[str] = []
-    for ch in text:
-        if ch in "([{“«":
-            stack.append(ch)
-        elif ch in pairs and stack and stack[-1] == pairs[ch]:
-            stack.pop()
-    return len(stack)
 
+def copies(question: list[str], text: str, answer: list[str], share: float = 0.5) -> bool:
+    """Whether an answer gives back the question and nothing of substance besides.
 
-def phrase_automaton(phrases: tuple[str, ...]) -> tuple[list[dict[str, int]], list[int], list[bool]]:
-    """Aho-Corasick automaton over words: transitions, failure links and whether a state ends a phrase."""
+    At least `share` of the question must stand in it in one stretch. What is left of each of its clauses says nothing
+    if it has no content word (no function word of any of the languages), or no more of them than words that greet,
+    thank or speak of the question.
+    """
+    wanted = set(question)
+    if not question or len(wanted.intersection(answer)) < share * len(question) - (len(question) - len(wanted)):
+        return False  # too few words in common for such a stretch, whatever their order
+    covered, longest = covered_words(question, answer)
+    if longest < share:
+        return False
+    at = 0
+    for clause in _CLAUSE.split(text):
+        n = len(_WORD.findall(clause))
+        left = [w for w, c in zip(answer[at : at + n], covered[at : at + n], strict=False) if not c]
+        at += n
+        kind = sum(w in ACKNOWLEDGING for w in left)
+        content = sum(w not in ACKNOWLEDGING and w not in _FUNCTION_WORDS for w in left)
+        if content > kind:
+            return False
+    return True
+
+
+def phrases_of(forms: tuple[tuple[str, ...], ...]) -> Iterator[list[str]]:
+    """The phrases of all forms, as words."""
+    for form in forms:
+        for parts in product(*[x.split("|") for x in form]):
+            yield _WORD.findall(" ".join(parts))
+
+
+def phrase_automaton(forms: tuple[tuple[str, ...], ...]) -> tuple[list[dict[str, int]], list[int], list[int]]:
+    """Aho-Corasick automaton over the words of all forms: transitions, failure links and the length of the phrase that ends in a state."""
     steps: list[dict[str, int]] = [{}]
-    fail, ends = [0], [False]
-    for phrase in phrases:
+    fail, ends = [0], [0]
+    for words in phrases_of(forms):
         state = 0
-        for w in _WORD.findall(phrase):
+        for w in words:
             if w not in steps[state]:
                 steps[state][w] = len(steps)
                 steps.append({})
                 fail.append(0)
-                ends.append(False)
+                ends.append(0)
             state = steps[state][w]
-        ends[state] = True
+        ends[state] = len(words)
     queue = list(steps[0].values())
     for state in queue:
         for w, to in steps[state].items():
@@ -217,146 +251,344 @@ def phrase_automaton(phrases: tuple[str, ...]) -> tuple[list[dict[str, int]], li
             while back and w not in steps[back]:
                 back = fail[back]
             fail[to] = steps[back].get(w, 0)
-            ends[to] = ends[to] or ends[fail[to]]
+            ends[to] = max(ends[to], ends[fail[to]])
             queue.append(to)
     return steps, fail, ends
 
 
-REFUSAL_AUTOMATON = phrase_automaton(REFUSALS)
+REFUSAL_AUTOMATON = phrase_automaton(REFUSAL_FORMS)
+#: The longest word of every phrase of the automaton that is no function word; a text without any of them is no refusal.
+_ANCHORS = frozenset(max(words, key=lambda w: (w not in _FUNCTION_WORDS, len(w))) for words in phrases_of(REFUSAL_FORMS))
 
 
-def refuses(text: str) -> bool:
-    """Whether a phrase of the refusal automaton occurs in a text."""
+def _refusal_at(words: list[str]) -> tuple[int, int] | None:
+    """Where the first phrase of the refusal automaton starts and ends among words, None if there is none."""
     steps, fail, ends = REFUSAL_AUTOMATON
     state = 0
-    for w in _WORD.findall(text.lower().replace("’", "'")):
+    for i, w in enumerate(words):
         while state and w not in steps[state]:
             state = fail[state]
         state = steps[state].get(w, 0)
         if ends[state]:
-            return True
-    return False
+            return i - ends[state] + 1, i + 1
+    return None
+
+
+def refuses(text: str, lead: int = 8) -> bool:
+    """Whether a text declines to answer or says that it does not know.
+
+    A phrase of the refusal automaton must open one of its sentences, after at most `lead` words, outside quotes and not
+    under a condition or in reported speech, and no substance may follow: a turn with four or more words after it, or
+    another sentence of four or more words that neither asks, thanks nor sends the reader elsewhere.
+    """
+    low = text.lower().replace("’", "'")
+    if _ANCHORS.isdisjoint(_WORD.findall(low)):
+        return False
+    found, substance = False, False
+    for sentence in _SENTENCE.split(_QUOTED.sub(" ", low)):
+        words = [w for w in _WORD.findall(sentence) if w not in _FILLERS]
+        if not words:
+            continue
+        at = _refusal_at(words)
+        if at is not None and at[0] <= lead and not _REPORTED.intersection(words[: at[0]]):
+            found = True
+            rest = words[at[1] :]
+            turn = next((i for i, w in enumerate(rest) if w in _TURNS), len(rest))
+            tail = [w for w in rest[turn + 1 :] if w not in ACKNOWLEDGING]
+            substance |= len(tail) >= 4 and tail[0] not in _REFERRING and rest[turn] != "instead"
+        elif len(words) >= 4 and words[0] not in _REFERRING and not sentence.rstrip().endswith("?"):
+            substance |= sum(w in ACKNOWLEDGING for w in words) * 2 < sum(w not in _FUNCTION_WORDS for w in words)
+    return found and not substance
+
+
+def open_delimiters(text: str) -> int:
+    """Opening brackets and quotes without their closing one, by a stack."""
+    pairs = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+    stack: list[str] = []
+    for ch in text:
+        if ch in "([{“«":
+            stack.append(ch)
+        elif ch in pairs and stack and stack[-1] == pairs[ch]:
+            stack.pop()
+    return len(stack)
+
+
+#: Votes are kept as one whole number per word, a field for each language, in units of 1 / 60 (so that halves to sixths are whole).
+_UNIT, _FIELD = 60, 40
+_FULL = (1 << _FIELD) - 1
 
 
-def tokens_of(sentence: str) -> list[str]:
-    """Tokens for continuation statistics: lower case, every number is '#'."""
-    return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(sentence.lower())]
+class _Packed(dict):
+    """Votes by word; a word without any has 0."""
 
+    def __missing__(self, word: str) -> int:
+        return 0
 
-def tail_contexts(fragment: str, longest: int, brief: bool = False) -> list[str]:
-    """The last 1 to `longest` tokens of an unfinished sentence, with '^' for its start; of a brief answer the last two."""
-    tokens = tokens_of(fragment)
-    if brief:
-        return [" ".join(tokens[-k:]) for k in range(1, min(2, len(tokens)) + 1)]
-    tokens = ["^", *tokens]
-    return [" ".join(tokens[-k:]) for k in range(1, min(longest, len(tokens)) + 1)]
 
+class Votes:
+    """Votes of words for languages: stopwords, split where languages share one, and words of labelled samples in one language only."""
+
+    def __init__(self, samples: list[tuple[str | None, str | None]]) -> None:
+        self.langs = list(STOPWORDS)
+        seen: dict[str, set[str]] = {}
+        for lang, words in STOPWORDS.items():
+            for w in words.split():
+                seen.setdefault(w, set()).add(lang)
+        shared = set(seen)
+        for lang, text in samples:
+            for w in _WORD.findall((text or "").lower()):
+                if lang in STOPWORDS and w not in shared and w.isalpha():
+                    seen.setdefault(w, set()).add(lang)
+        self.of = _Packed({w: sum(_UNIT // len(langs) << _FIELD * self.langs.index(x) for x in langs) for w, langs in seen.items() if w in shared or len(langs) == 1})
+
+    def count(self, words: list[str]) -> list[float]:
+        """The sum of the votes for each language."""
+        of = self.of
+        total = sum(map(of.__getitem__, words))
+        for w in words:
+            if "'" in w and w not in of:
+                total += sum(map(of.__getitem__, w.split("'")))
+        return [(total >> _FIELD * k & _FULL) / _UNIT for k in range(len(self.langs))]
+
+    def winner(self, total: list[float]) -> tuple[int, float]:
+        """The language with most votes and its lead over the next; -1 without a lead."""
+        first, second = sorted(total, reverse=True)[:2]
+        return (total.index(first) if first > second else -1), first - second
+
+
+#: A whole answer of at most so many tokens may be a phrase ("The head coach") rather than a sentence.
+BRIEF = 5
+#: Tokens up to which contexts are looked up.
+LONGEST = 4
+_STEP = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
+@lru_cache(maxsize=1 << 18)
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _canonical(token: str) -> str:
+    """The token that contexts hold: '#' for numbers, '^' for ends of sentences, lines and texts."""
+    return "#" if token[0].isdigit() else "^" if token[0] in ".!?…\n\0" else token
 
-def judge_pair(question: str | None, answer: str | None, votes: dict[str, dict[str, float]], longest: int) -> tuple[str | None, str | None, list[str], str]:
-    """`(defect, other, contexts, whole)` of a pair.
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def tail_contexts(text: str, longest: int = LONGEST) -> tuple[list[int], int]:
+    """The contexts of an unfinished end and the number of tokens of the whole text.
+
+    First that of the last token as the start of a longer word, after the token before it (0 for numbers and where there
+    is none), then those of the last 1 to `longest` tokens of the sentence, with '^' for its start. Contexts are 64-bit
+    hashes; two of them being the same by chance is out of the question at any corpus size.
+    """
+    tokens = [t for t in _TOKEN.findall(text.lower())]
+    whole = sum(t[0] not in ".!?…\n\0" for t in tokens)
+    names = ["^", *map(_canonical, tokens)]
+    start = max(i for i, t in enumerate(names) if t == "^" and i < len(names) - 1)
+    names = names[start:]
+    if whole <= BRIEF:
+        names = [t for t in names if t != "^"]
+    half = 0
+    if len(names) > 1 and names[-1].isalpha():
+        half = (_token_hash(names[-1] + "*") + _STEP * _token_hash(names[-2])) & _MASK
+    out, value, power = [_signed(half)], 0, 1
+    for k in range(1, min(longest if whole > BRIEF else 2, len(names)) + 1):
+        value = (value + power * _token_hash(names[-k])) & _MASK
+        power = power * _STEP & _MASK
+        out.append(_signed(value))
+    return out, whole
+
+
+def _closed(text: str) -> str:
+    """A text, with a full stop if it is brief and has no end: brief answers tell where brief answers end."""
+    if len(text) < 80 and (text := text.rstrip()) and text.rstrip(_CLOSERS)[-1:] not in _ENDS and 0 < len(_TOKEN.findall(text)) <= BRIEF:
+        return text + "."
+    return text
+
+
+class Continuations:
+    """Counts of how sentences go on after contexts, over batches of texts, in arrays."""
+
+    def __init__(self, longest: int = LONGEST) -> None:
+        self.longest = longest
+        self.number: dict[str, int] = {}
+        self.hash: list[int] = []
+        self.kind: list[int] = []
+        self.starts: list[list[int]] = []
+
+    def _new(self, token: str) -> int:
+        name = _canonical(token)
+        if name == "#" and "#" in self.number:
+            return self.number["#"]
+        n = len(self.hash)
+        self.number["#" if name == "#" else token] = n
+        self.hash.append(_token_hash(name))
+        self.kind.append(0 if name != "^" else 1 if token[0] in ".!?…" else 2)
+        self.starts.append([_token_hash(token[:i] + "*") for i in range(2, len(token))] if name.isalpha() else [])
+        return n
+
+    def counts(self, texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`(context, total, ended)`: how often a context stands before another token or the end of its sentence, and the latter.
+
+        What an unclosed last sentence goes on with is not known and does not count. `wanted` is a table of bits, by the
+        last bits of the context, outside of which nothing is counted.
+        """
+        number, new = self.number, self._new
+        ids = np.array([number[t] if t in number else new(t) for t in _TOKEN.findall("\0" + "\0".join(texts).lower() + "\0")], np.int64)
+        own, kind = np.array(self.hash, np.uint64)[ids], np.array(self.kind, np.int8)[ids]
+        at = np.arange(len(ids))
+        bound = np.maximum.accumulate(np.where(kind > 0, at, -1))
+        following = np.append(kind[1:], 2)
+        counted = (kind == 0) & (following < 2)
+        keys, ended = [], []
+
+        def keep(context: np.ndarray, end: np.ndarray) -> None:
+            if wanted is not None:
+                low = (context & np.uint64(len(wanted) * 8 - 1)).astype(np.int64)
+                on = (wanted[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                context, end = context[on], end[on]
+            keys.append(context)
+            ended.append(end)
+
+        value, power = np.zeros(len(ids), np.uint64), 1
+        for k in range(1, self.longest + 1):
+            value[k - 1 :] += own[: len(own) - k + 1] * np.uint64(power)
+            power = power * _STEP & _MASK
+            valid = counted & (at - k + 1 >= bound)
+            keep(value[valid], following[valid] == 1)
+        sizes = np.array([len(s) for s in self.starts], np.int64)
+        firsts = np.append(0, np.cumsum(sizes))
+        flat = np.array([x for s in self.starts for x in s], np.uint64)
+        word = np.flatnonzero(kind == 0)
+        word = word[sizes[ids[word]] > 0]
+        n = sizes[ids[word]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        halves = flat[np.repeat(firsts[ids[word]], n) + inside] + np.repeat(own[word - 1], n) * np.uint64(_STEP)
+        keep(halves, np.zeros(len(halves), bool))
+        context, place, total = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        return context.view(np.int64), total, np.bincount(place, np.concatenate(ended), len(context)).astype(np.int64)
+
+
+def judge_pair(question: str | None, answer: str | None, votes: Votes) -> tuple[str | None, str | None, float, list[int], int]:
+    """`(defect, other, prior, contexts, tokens)` of a pair.
 
     `defect` is what the pair alone shows. Where only the missing end of the last sentence is in doubt, `contexts` holds
-    its last tokens and `whole` the whole answer for the corpus to decide on, and `other` the defect that is left if the
-    answer is complete.
+    the hashed ends of it, `prior` the chance that it is complete where nothing is known of them (0 after a word of the
+    answer's language that never ends a sentence, else 1) and `other` the defect that is left if the answer is complete.
     """
     text = (answer or "").replace("\xa0", " ").strip()
-    bare = re.sub(r"^[\W_]+|[\W_]+$", "", text).lower()
-    if not bare and not re.search(r"[^\W_]", text) or bare in PLACEHOLDERS:
-        return "empty", None, [], ""
-    asked = (question or "").strip()
-    q_words, a_words = [w.lower() for w in _WORD.findall(asked)], [w.lower() for w in _WORD.findall(text)]
-    of_answer, of_question, left = copied(q_words, a_words)
-    if of_question >= 0.5 and all(w in COURTESY for w in left):
-        return "copy", None, [], ""
-    if refuses(text):
-        return "refusal", None, [], ""
-    if text.endswith(("…", "...", ",", ";", ":", "-", "–", "—")) or open_delimiters(text):
-        return "truncated", None, [], ""
-    other = None
-    q_lang, _ = winner(language_votes(asked, votes))
-    given = language_votes(_QUOTED.sub(" ", text), votes)
-    a_lang, lead = winner(given)
-    if q_lang and a_lang and q_lang != a_lang and lead >= 1 and given[a_lang] >= 2 and given[q_lang] <= 0.67 * given[a_lang]:
-        other = "other_language"
-    if _ENDED.search(text) or text[-1] in ")”\"»'’]":
-        return other, None, [], ""
-    last = _SENTENCE.split(text)[-1]
-    whole = tokens_of(text)
-    contexts = tail_contexts(last, longest, len(whole) <= BRIEF)
-    return None, other, contexts, " ".join(whole)
-
-
-def counted_contexts(answers: Iterator[str | None], longest: int, flush: int = 200_000) -> Iterator[Counter[tuple[str, int]]]:
-    """Counts of `(context, ended)` over all places of all sentences, `ended` 1 where a closed sentence ends; in parts."""
-    counts: Counter[tuple[str, int]] = Counter()
-    for answer in answers:
-        for sentence in _SENTENCE.split((answer or "").strip()):
-            closed = _ENDED.search(sentence)
-            tokens = ["^", *tokens_of(sentence)]
-            while closed and not tokens[-1][-1].isalnum() and tokens[-1] not in "#^":
-                tokens.pop()
-            last = len(tokens)
-            for i in range(2, last + bool(closed)):  # whether an unclosed sentence ends at its last token is not known
-                ended = int(i == last)
-                for k in range(1, min(longest, i) + 1):
-                    counts[" ".join(tokens[i - k : i]), ended] += 1
-        if len(counts) > flush:
-            yield counts
-            counts = Counter()
-    yield counts
-
-
-def checked_pairs(pairs: DataFrame, samples: DataFrame, longest: int) -> DataFrame:
-    """`judge_pair` over all pairs; pairs without any defect or doubt give no row."""
-    votes = voters([(r.lang, r.text) for r in samples.select("lang", "text").collect()])
+    if not _SAID.search(text) or len(text) < 40 and _EDGES.sub("", text).lower() in PLACEHOLDERS:
+        return "empty", None, 1.0, [], 0
+    low = text.lower().replace("’", "'")
+    words = _WORD.findall(low)
+    asked = _asked(question or "")
+    if copies(asked, low, words):
+        return "copy", None, 1.0, [], 0
+    if not _ANCHORS.isdisjoint(words) and refuses(text):
+        return "refusal", None, 1.0, [], 0
+    closed = text.rstrip(_CLOSERS)[-1:] in _ENDS
+    if text[-1] in "…,;:-–—" or text.endswith("..."):
+        return "truncated", None, 1.0, [], 0
+    if not closed and open_delimiters(text):
+        return "truncated", None, 1.0, [], 0
+    q_lang, _ = votes.winner(votes.count(asked))
+    given = votes.count(_WORD.findall(_QUOTED.sub(" ", low)) if _OPENED.search(low) else words)
+    a_lang, lead = votes.winner(given)
+    other = "other_language" if 0 <= q_lang != a_lang >= 0 and lead >= 1 and given[a_lang] >= 2 and given[q_lang] <= 0.67 * given[a_lang] else None
+    if closed or text[-1] in ")”\"»'’]" or not any(map(str.isalpha, words)):  # figures alone are complete
+        return other, None, 1.0, [], 0
+    contexts, size = tail_contexts(text)
+    connected = words[-1] in _CONNECTORS[votes.langs[a_lang if a_lang >= 0 else q_lang if q_lang >= 0 else 0]]
+    return None, other, 0.0 if connected else 1.0, contexts, size
+
+
+@lru_cache(maxsize=1 << 14)
+def _asked(question: str) -> list[str]:
+    return _WORD.findall(question.lower().replace("’", "'"))
+
+
+def judged_pairs(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """`judge_pair` over all pairs in one pass, `(faq_id, defect, other, prior, contexts, brief, row_key)`; sound ones have no row.
+
+    `row_key` is a hash of the whole row, so that two deliveries of one id are judged apart and equal ones together.
+    """
+    votes = Votes([(r.lang, r.text) for r in samples.select("lang", "text").collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            judged = (judge_pair(q, a, votes, longest) for q, a in zip(batch["question"], batch["answer"], strict=True))
-            rows = [(f, *j) for f, j in zip(batch["faq_id"], judged, strict=True) if j[0] or j[2]]
-            yield pd.DataFrame(rows, columns=["faq_id", "defect", "other", "contexts", "whole"])
+            rows = []
+            for f, q, a, key in zip(batch["faq_id"], batch["question"], batch["answer"], batch["row_key"], strict=True):
+                defect, other, prior, contexts, size = judge_pair(q, a, votes)
+                if defect or contexts:
+                    rows.append((f, defect, other, prior, contexts, size <= BRIEF, key))
+            yield pd.DataFrame(rows, columns=["faq_id", "defect", "other", "prior", "contexts", "brief", "row_key"])
+
+    wanted = pairs.select("faq_id", "question", "answer", F.xxhash64("faq_id", "question", "answer").alias("row_key"))
+    return wanted.mapInPandas(run, "faq_id string, defect string, other string, prior double, contexts array<long>, brief boolean, row_key long")
 
-    wanted = pairs.select("faq_id", "question", "answer")
-    return wanted.mapInPandas(run, "faq_id string, defect string, other string, contexts array<string>, whole string")
 
+def asked_contexts(contexts: DataFrame, bits: int) -> np.ndarray:
+    """A table of `bits` bits with those of the contexts set; it has that size, 8 MB by default, however many contexts there are."""
+    place = F.col("context").bitwiseAND(F.lit(bits - 1)) + 1  # bitmaps count from 1
+    marked = contexts.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    table = np.zeros((bits // 32_768, 4096), np.uint8)
+    for r in marked.collect():
+        table[r["bucket"] - 1] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return table.ravel()
 
-def context_statistics(pairs: DataFrame, longest: int) -> DataFrame:
-    """`(context, total, ended)` over all answers, counted in the tasks before anything moves."""
+
+def continuation_counts(answers: DataFrame, wanted: np.ndarray | None = None, longest: int = LONGEST) -> DataFrame:
+    """`(context, total, ended)` over all texts of the column `answer`, counted in the tasks before anything moves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        answers = (a for batch in batches for a in batch["answer"])
-        for counts in counted_contexts(answers, longest):
-            yield pd.DataFrame([(c, n, n * e) for (c, e), n in counts.items()], columns=["context", "total", "ended"])
+        counter = Continuations(longest)
+        for batch in batches:
+            context, total, ended = counter.counts([_closed(t.replace("\0", " ")) for t in batch["answer"]], wanted)
+            yield pd.DataFrame({"context": context, "total": total, "ended": ended})
 
-    counted = pairs.select("answer").filter("answer is not null").mapInPandas(run, "context string, total long, ended long")
+    counted = answers.select("answer").filter("answer is not null").mapInPandas(run, "context long, total long, ended long")
     return counted.groupBy("context").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended"))
 
 
-def broken_pairs(pairs: DataFrame, samples: DataFrame, longest: int = 5, floor: float = 0.12, brief_floor: float = 0.02, common: float = 1e-4) -> DataFrame:
+def broken_pairs(pairs: DataFrame, samples: DataFrame, floor: float = 0.12, brief_floor: float = 0.02, bits: int = 1 << 26) -> DataFrame:
     """`(faq_id, defect)` of every defective pair, one row each.
 
     Looked for in this order: 'empty' (no content or a placeholder), 'copy' (the question's suffix automaton covers the
-    answer but for courtesies), 'refusal' (a phrase of the refusal automaton), 'truncated' and 'other_language'
-    (stopword votes outside short quotes). An answer is truncated if it ends in an ellipsis, a comma or an open bracket
-    or quote; if it lacks only the full stop, the corpus decides: its last 1 to `longest` tokens are looked up among all
-    sentences, and the chance that a sentence ends there, smoothed from short to long contexts, must reach `floor`
-    (`brief_floor` for a whole answer of at most five tokens, which need not be a sentence). A whole answer of at most
-    eight tokens that at least `common` of all pairs share is complete. A null question is the empty text; repeated
-    rows give one row.
+    answer, and what is left says nothing), 'refusal' (a phrase of the refusal automaton opens a sentence and no
+    substance follows), 'truncated' and 'other_language' (stopword votes outside short quotes). An answer is truncated if
+    it ends in an ellipsis, comma, colon or the like, or, without a sentence end, with an open bracket or quote. If it
+    lacks only the full stop, evidence must show that it breaks off: after a word that no sentence of the language ends
+    with, or where the answers and the labelled sentences go on after its last tokens, or with a longer word in place of
+    its last, and do not end there. The chance of an end, smoothed from short to long contexts, starts at 1 where nothing
+    is known and must fall under `floor` (`brief_floor` for a whole answer of at most five tokens, which need not be a
+    sentence), so that contexts never seen are no evidence and an answer is not judged by how many rows there are.
+
+    Each pair is judged once; defects and doubts, a small part of the table, are written to the checkpoint folder. The
+    contexts in doubt are marked in a table of `bits` bits, outside of which nothing is counted; the counts are then
+    joined exactly. Null questions are the empty text, null answers are empty, equal rows give one row.
     """
-    checked = checked_pairs(pairs, samples, longest)
-    plain = checked.filter("defect is not null").select("faq_id", "defect")
-    n = pairs.count()
-    doubtful = checked.filter(F.size("contexts") > 0).select("faq_id", "other", "whole", "contexts")
-    same = doubtful.filter(F.size(F.split("whole", " ")) <= 8).groupBy("whole").agg(F.countDistinct("faq_id").alias("shared"))
-    known = same.filter(F.col("shared") >= max(2, common * n)).select("whole", F.lit(True).alias("is_known"))
-    # at most 1 / common answers are shared by that many pairs
-    doubtful = doubtful.join(F.broadcast(known), "whole", "left").filter("is_known is null")
-    limit = F.when(F.size(F.split("whole", " ")) <= BRIEF, brief_floor).otherwise(floor)
-    each = doubtful.select("faq_id", "other", limit.alias("limit"), F.posexplode("contexts").alias("k", "context"))
-    found = join_unique(each, context_statistics(pairs, longest), "context", 5 * n, "left")
-    entry = F.struct("k", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("ended", F.lit(0)).alias("ended"))
-    tails = found.groupBy("faq_id", "other", "limit").agg(F.sort_array(F.collect_set(entry)).alias("tail"))
-    chance = F.aggregate("tail", F.lit(0.0), lambda p, x: (x["ended"] + p * F.when((x["k"] == 1) & (x["total"] == 0), UNSEEN).otherwise(1.0)) / (x["total"] + 1))
-    decided = tails.select("faq_id", F.when(chance < F.col("limit"), "truncated").otherwise(F.col("other")).alias("defect"))
+    judged = cut_lineage(judged_pairs(pairs, samples))
+    plain = judged.filter("defect is not null").select("faq_id", "defect")
+    doubtful = judged.filter(F.size("contexts") > 0).dropDuplicates(["row_key"])
+    each = doubtful.select("faq_id", "row_key", "other", "prior", "brief", F.posexplode("contexts").alias("k", "context"))
+    wanted = asked_contexts(each, bits)
+    texts = pairs.select("answer").unionByName(samples.select(F.col("text").alias("answer")))
+    found = join_unique(each, continuation_counts(texts, wanted), "context", each.count(), "left")
+    own = F.when(F.col("brief") & (F.col("k") > 0), 1).otherwise(0)  # a brief answer is no evidence for itself
+    entry = F.struct("k", *[F.greatest(F.coalesce(x, F.lit(0)) - own, F.lit(0)).alias(x) for x in ("total", "ended")])
+    tails = found.groupBy("faq_id", "row_key", "other", "prior", "brief").agg(F.sort_array(F.collect_list(entry)).alias("tail"))
+    # a longer word in the place of one that is never seen whole weighs more
+    longer = F.get("tail", F.lit(0))["total"] * F.when(F.get("tail", F.lit(1))["total"] == 0, 4).otherwise(1)
+
+    def smoothed(p, x):  # noqa: ANN001, ANN202
+        total = x["total"] + F.when(x["k"] == 2, longer).otherwise(0)
+        return F.when(x["k"] == 0, p).otherwise((x["ended"] + p) / (total + 1))
+
+    limit = F.when(F.col("brief"), brief_floor).otherwise(floor)
+    chance = F.aggregate("tail", F.col("prior"), smoothed)
+    decided = tails.select("faq_id", F.when(chance < limit, "truncated").otherwise(F.col("other")).alias("defect"))
     return plain.unionByName(decided.filter("defect is not null")).distinct()

@@ -58,6 +58,59 @@ def test_kinds(frame):
     assert got == {i: d for i, (_, _, d) in enumerate(cases) if d}
 
 
+def test_single_pairs(frame):
+    """One row at a time: nothing is known of other answers, so contexts never seen are no evidence."""
+    q = "When does the gym open on Sunday?"
+    cases = [
+        ("The desk opens on weekdays at nine", None), ("The hall stands beside the river", None), ("Volunteers from the parish lead every rehearsal", None), ("£250", None), ("Tuesday at 6:30 am", None),
+        ("If you are unsure, do not say I have no idea; ask the office on Monday.", None), ("The sign says that staff cannot provide parking permits after six.", None),
+        ("The gym opens at nine, but as an AI club project we also open online.", None), ("I can't say for March, but from April the gym opens at nine on Sundays.", None),
+        ("That falls outside my remit.", "refusal"), ("Sorry, this is something I'd rather leave to staff.", "refusal"), ("Mi dispiace, non posso rispondere a questa domanda.", "refusal"), ("I'm afraid I don't know when it opens.", "refusal"),
+        (f"{q} The club is pleased to receive this query.", "copy"), (f"Thanks for your question: {q}", "copy"), (f"{q} At nine.", None), (f"{q} No.", None),
+        ("Rules (see page 3: members only.", None), ("Rules are on page 3 (see", "truncated"), ("The gym opens at nine because", "truncated"), ("The gym opens between the", "truncated"),
+    ]
+    votes = pairs.Votes(ROWS)
+    for answer, defect in cases:
+        found, other, prior, contexts, _ = pairs.judge_pair(q, answer, votes)
+        assert (found or ("truncated" if contexts and prior == 0 else other)) == defect, answer
+    samples = frame(ROWS, "lang string, text string")
+    for answer, defect in (cases[0], cases[-1]):
+        got = pairs.broken_pairs(frame([("F", "c", q, answer, "", "x", 1, "y")], FAQ), samples).collect()
+        assert [r.defect for r in got] == [defect] * bool(defect)
+
+
+def test_deliveries_of_one_id_are_judged_apart(frame):
+    df = frame([("F", "c", "Where?", "Please park behind the hall.", "", "x", 1, "y"), ("F", "c", "Where?", None, "", "x", 1, "y"), (None, "c", "Where?", "", "", "x", 1, "y")], FAQ)
+    got = pairs.broken_pairs(df, frame(ROWS, "lang string, text string")).collect()
+    assert sorted((r.faq_id or "", r.defect) for r in got) == [("", "empty"), ("F", "empty")]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="ab .,3\n", max_size=30), max_size=5))
+def test_continuations_against_brute_force(texts):
+    context, total, ended = pairs.Continuations(2).counts(texts)
+    got = {c: (t, e) for c, t, e in zip(context.tolist(), total.tolist(), ended.tolist(), strict=True)}
+    want = {}
+    for text in texts:
+        tokens = ["\0", *pairs._TOKEN.findall(text), "\0"]
+        for i, t in enumerate(tokens[:-1]):
+            name, before = pairs._canonical(t), pairs._canonical(tokens[i - 1])
+            if name == "^":
+                continue
+            after = tokens[i + 1]
+            keys = [("", e) for e in ()]
+            if after[0] not in "\n\0":
+                end = int(after[0] in ".!?…")
+                one = pairs._token_hash(name)
+                keys += [(one, end), (one + pairs._STEP * pairs._token_hash(before), end)]
+            keys += [(pairs._token_hash(t[:n] + "*") + pairs._STEP * pairs._token_hash(before), 0) for n in range(2, len(t)) if name.isalpha()]
+            for key, end in keys:
+                key = pairs._signed(key & pairs._MASK)
+                n, e = want.get(key, (0, 0))
+                want[key] = (n + 1, e + end)
+    assert got == want
+
+
 def test_empty_pairs(frame):
     assert pairs.broken_pairs(frame([], FAQ), frame(ROWS, "lang string, text string")).count() == 0
     assert pairs.broken_pairs(frame([("F", None, None, "x y z.", None, None, None, None)], FAQ), frame([], "lang string, text string")).count() == 0
