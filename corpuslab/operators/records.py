@@ -41,20 +41,23 @@ def announcement_records(exports: DataFrame, source_file: str = "announcements.j
 def checked(records: DataFrame, *order: str) -> DataFrame:
     """Records with `problems`, the list of all that is wrong; sound records have an empty list.
 
-    A repeated identifier is a problem of all its rows but the first in order, even if the first is rejected itself. The
-    first is found by one aggregation with map-side combine and a join on unique keys, not by sorting each group.
+    A repeated identifier is a problem of all its rows but the first in order, even if the first is rejected itself. Rows
+    that are the same in all columns are counted together and given back with their place, since nothing else tells them
+    apart whichever way the table is computed; the first is then found by one aggregation with map-side combine and a
+    join on unique keys, not by sorting each group.
     """
-    placed = records.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_row")))
+    same = records.groupBy(*records.columns).agg(F.count("*").alias("_copies"))
+    placed = same.withColumn("_at", F.struct(*order, F.xxhash64(*records.columns).alias("_row"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     first = placed.groupBy("doc_id").agg(F.min("_at").alias("_first"))
     joined = placed.join(first, placed["doc_id"].eqNullSafe(first["doc_id"]), "left").drop(first["doc_id"])
     title, text = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("text", F.lit("")))
     found = F.array(
         F.when(text == "", "empty text"),
         F.when(title == "", "empty title"),
-        F.when(F.col("_at") != F.col("_first"), "duplicate doc_id"),
+        F.when(~F.col("_at").eqNullSafe(F.col("_first")) | (F.col("_copy") > 1), "duplicate doc_id"),
         F.when((text != "") & (text == title), "text adds nothing beyond the title"),
     )
-    return joined.withColumn("problems", F.filter(found, lambda p: p.isNotNull())).drop("_at", "_first")
+    return joined.withColumn("problems", F.filter(found, lambda p: p.isNotNull())).drop("_at", "_first", "_copy", "_copies")
 
 
 #: Fixed value: a row of a flattened fee table; age band, fee, instalment, number of instalments, kit.
