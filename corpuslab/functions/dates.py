@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 #: English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_YMD = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ].*)?$"
+_NAME = r"((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))"
+_TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)? *(?:(?i:z|utc|am|pm)|[+-]\d{2}:?\d{2})?)?"
+_YMD = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_DMY = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[T ].*)?$"
-_D_MONTH_Y = r"^(\d{1,2})\.? +([A-Za-z]{3,9})\.?,? +(\d{4})$"
-_MONTH_D_Y = r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})$"
+_DMY = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TIME}$"
+_D_MONTH_Y = rf"^(\d{{1,2}})\.? +{_NAME}\.?,? +(\d{{4}})$"
+_MONTH_D_Y = rf"^{_NAME}\.? +(\d{{1,2}}),? +(\d{{4}})$"
 
 
 def _month(name: Column) -> Column:

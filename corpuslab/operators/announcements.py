@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.dates import date_as_written
-from corpuslab.functions.keys import is_blank, strip
-from corpuslab.operators.shredding import shred_column, shred_json, with_ordinals
+from corpuslab.operators.shredding import Levels, Table, rebuilt, rejected
 
 #: The names under which exports give the same thing, in order of preference.
 ID_NAMES = ("id", "announcement_id", "announcementId")
@@ -19,92 +19,127 @@ DATE_NAMES = ("posted", "published", "date", "timestamp", "updated")
 CONTENT_NAMES = ("content", "details")
 TEXT_NAMES = ("text", "message", "body", "content", "description", "summary")
 
-_ARRAY = r"^((?:.*\.)?announcements\[\]|\[\])(.*)$"
-_TAG = rf"^\.(?:(?:{'|'.join(CONTENT_NAMES)})\.)?tags(?:\[\])*(?:\.(?:label|name))?$"
-_BODY = (
-    rf"^\.(?:(?:{'|'.join(CONTENT_NAMES)})\.)?body"
-    rf"(?:\[\]|\.sections|\.paragraphs|\.(?:{'|'.join(TEXT_NAMES)}))*$"
-)
+DATE_PATHS = [f".{m}.{d}" for m in META_NAMES for d in DATE_NAMES] + [f".{d}" for d in DATE_NAMES]
+_HOLDER = re.compile(r"(?:.*\.)?announcements\[\]|\[\]")
+_TAG = re.compile(rf"\.(?:(?:{'|'.join(CONTENT_NAMES)})\.)?tags(?:\[\])*(?:\.(?:label|name))?")
+_BODY = re.compile(rf"\.(?:(?:{'|'.join(CONTENT_NAMES)})\.)?body(?:\[\]|\.sections|\.paragraphs|\.(?:{'|'.join(TEXT_NAMES)}))*")
+_GAP = re.compile(r"\r?\n\s*\n")
+_LISTED = re.compile(r"[,;]")
 
+LINK = "source string, base string, ann_no long, ann_id string"
 
-_DATES = [f".{m}.{d}" for m in META_NAMES for d in DATE_NAMES] + [f".{d}" for d in DATE_NAMES]
-_NAMES = [f".{x}" for x in (*ID_NAMES, *TITLE_NAMES)]
-_WANTED = rf"^(?:(?:.*\.)?announcements\[\]|\[\])(?:{'|'.join(x.replace('.', chr(92) + '.') for x in (*_NAMES, *_DATES))}|{_TAG[1:-1]}|{_BODY[1:-1]})$"
-_PARAGRAPH_GAP = r"\r?\n[\s\p{Z}]*\n"
 
+def _first(table: Table, paths: list[str]) -> tuple[list[str | None], list[bool]]:
+    """The first non-blank value of each row under any of the paths, and whether it is a number."""
+    values: list[str | None] = [None] * len(table.rec)
+    numbers = [False] * len(values)
+    for path in reversed(paths):
+        for i, v in enumerate(table.columns.get(path, ())):
+            if v is not None and v.strip():
+                values[i], numbers[i] = v, table.is_num[path][i]
+    return values, numbers
 
-def announcement_levels(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
-    """Level sequences with ordinals of typed and of JSON exports together, of the leaves that the tables below read."""
-    typed = shred_column(exports, ["export_id"], "announcements", "typed", root=".announcements")
-    raw = shred_json(raw_exports, ["export_id"], "payload", "raw")
-    return with_ordinals(typed.unionByName(raw).filter(F.col("path").rlike(_WANTED)))
 
+def announcement_tables(levels: Levels) -> Iterator[tuple[Table, list[str | None]]]:
+    """The table of every array of announcements of a batch with their identifiers, trimmed, null if blank."""
+    for ancestor in levels.ancestors():
+        if _HOLDER.fullmatch(ancestor) and not any(len(x) > len(ancestor) and x.startswith(ancestor) and _HOLDER.fullmatch(x) for x in levels.ancestors()):
+            table = levels.table(ancestor)
+            yield table, [None if v is None else v.strip() for v in _first(table, [f".{x}" for x in ID_NAMES])[0]]
 
-def _priority(rest: Column, paths: list[str]) -> Column:
-    """The place of a path in a list of wanted paths; null if it is not wanted."""
-    return reduce(lambda found, x: found.when(rest == x[1], x[0]), enumerate(paths[1:], 1), F.when(rest == paths[0], 0))
 
+def _values(levels: Levels, table: Table, wanted: re.Pattern[str]) -> Iterator[tuple[int, int, str]]:
+    """`(row of the table, place in the walk, value)` of the leaves of announcements whose path is wanted."""
+    row = {key: i for i, key in enumerate(zip(table.rec, table.number, strict=True))}
+    for rest, s in levels.below(table.ancestor):
+        if wanted.fullmatch(rest):
+            numbers = s.numbers(table.ancestor)[0].tolist()
+            for rec, n, seq, v in zip(s.rec, numbers, s.seq, s.v, strict=True):
+                if v is not None:
+                    yield row[int(rec), n], int(seq), (rest, v)
 
-def announcement_leaves(levels: DataFrame) -> DataFrame:
-    """Each present leaf of an announcement with its announcement's identity and the part it plays.
 
-    Adds `ann_no` (ordinal of the announcement in its record), `ann_id` (first non-blank identifier, trimmed, else
-    null) and `title`, taken over the announcement's entries; all windows stay inside one record's partition.
+def tags_of(levels: Levels, table: Table) -> list[tuple[int, str]]:
+    """`(row, tag)`, trimmed and lower-cased, blanks dropped; a single string is a list."""
+    out = []
+    for i, _, (rest, v) in _values(levels, table, _TAG):
+        for t in _LISTED.split(v) if rest.endswith("tags") else (v,):
+            if t := t.strip():
+                out.append((i, t.lower()))
+    return out
+
+
+def paragraphs_of(levels: Levels, table: Table) -> list[tuple[int, int, str]]:
+    """`(row, number, paragraph)` of the non-blank paragraphs in document order, numbered from 1 in each announcement.
+
+    Blank lines divide strings; elements of arrays and of sections are paragraphs of their own; headings do not count.
     """
-    base, rest = F.regexp_extract("path", _ARRAY, 1), F.regexp_extract("path", _ARRAY, 2)
-    depth = F.length(F.regexp_replace("base", r"[^\[]", ""))
-    own = Window.partitionBy("source", "rec", "base", "ann_no")
-
-    def first(wanted: Column) -> Column:
-        return F.min(F.when(wanted.isNotNull() & ~is_blank(F.col("v")), F.struct(wanted.alias("p"), F.col("v"), F.col("is_num")))).over(own)
-
-    return (
-        levels.filter(F.col("path").rlike(_ARRAY) & F.col("v").isNotNull())
-        .withColumn("base", base)
-        .withColumn("rest", rest)
-        .withColumn("ann_no", F.get("ords", depth - 1))
-        .withColumn("_id", first(_priority(F.col("rest"), [f".{x}" for x in ID_NAMES])))
-        .withColumn("_title", first(_priority(F.col("rest"), [f".{x}" for x in TITLE_NAMES])))
-        .withColumn("_date", first(_priority(F.col("rest"), _DATES)))
-        .select(
-            "export_id", "source", "rec", "base", "ann_no", strip(F.col("_id.v")).alias("ann_id"), F.col("_title.v").alias("title"),
-            date_as_written(F.col("_date.v"), F.col("_date.is_num")).alias("posted"), "rest", "ords", "seq", "v", "is_num",
-        )
-    )
-
-
-def announcements_table(leaves: DataFrame) -> DataFrame:
-    """One row per announcement as delivered: export, ordinal, identifier (null if blank), title, date of posting."""
-    cols = ["export_id", "source", "rec", "base", "ann_no", "ann_id", "title", "posted"]
-    return leaves.select(*cols).dropDuplicates(["source", "rec", "base", "ann_no"])
-
-
-def tags_table(leaves: DataFrame) -> DataFrame:
-    """One row per tag of an announcement: trimmed, lower-cased, blanks dropped; a single string is a list."""
-    whole = F.col("rest").rlike(r"tags$")
-    parts = F.when(whole, F.split("v", "[,;]")).otherwise(F.array("v"))
-    return (
-        leaves.filter(F.col("rest").rlike(_TAG))
-        .withColumn("tag", F.explode(parts))
-        .withColumn("tag", F.lower(strip(F.col("tag"))))
-        .filter(F.length("tag") > 0)
-        .select("export_id", "source", "rec", "base", "ann_no", "ann_id", "tag")
-    )
-
-
-def paragraphs_table(leaves: DataFrame) -> DataFrame:
-    """One row per non-blank paragraph of a body, numbered from 1 in document order; headings and other keys do not count.
-
-    Blank lines divide strings; elements of arrays and of sections are paragraphs of their own.
+    out: list[tuple[int, int, str]] = []
+    last, n = -1, 0
+    for i, _, (_, v) in sorted(_values(levels, table, _BODY), key=lambda x: x[:2]):
+        if i != last:
+            last, n = i, 0
+        for part in _GAP.split(v):
+            if part := part.strip():
+                n += 1
+                out.append((i, n, part))
+    return out
+
+
+def _flat(exports: DataFrame, raw_exports: DataFrame, kind: str, schema: str) -> DataFrame:
+    """One of the flat tables over exports of both kinds; every kind of export is shredded and rebuilt in one narrow pass."""
+
+    def builder(source: str):  # noqa: ANN202
+        def build(levels: Levels) -> tuple[list[int], dict[str, list]]:
+            names = [x.split()[0] for x in schema.split(", ")]
+            at: list[int] = []
+            rows: list[tuple] = []
+            for table, ids in announcement_tables(levels):
+                link = [(source, table.ancestor, n, i) for n, i in zip(table.number, ids, strict=True)]
+                if kind == "tag":
+                    found = [(i, (*link[i], tag)) for i, tag in tags_of(levels, table)]
+                elif kind == "paragraph":
+                    found = [(i, (*link[i], n, text)) for i, n, text in paragraphs_of(levels, table)]
+                elif kind == "announcement":
+                    dates, numbers = _first(table, DATE_PATHS)
+                    titles, _ = _first(table, [f".{x}" for x in TITLE_NAMES])
+                    some = {i for i, *_ in _values(levels, table, re.compile(r".*"))}
+                    found = [(i, (*link[i], titles[i], dates[i], numbers[i])) for i in sorted(some)]
+                else:
+                    dates, numbers = _first(table, DATE_PATHS)
+                    children = [(i, "posted", v, n) for i, (v, n) in enumerate(zip(dates, numbers, strict=True)) if v is not None]
+                    children += [(i, "tag", t, False) for i, t in tags_of(levels, table)]
+                    children += [(i, "body", str(n), False) for i, n, _ in paragraphs_of(levels, table)]
+                    found = [(i, (ids[i], *child)) for i, *child in children if ids[i] is not None]
+                at.extend(table.rec[i] for i, _ in found)
+                rows.extend(x for _, x in found)
+            return at, dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {x: [] for x in names}
+
+        return build
+
+    typed = rebuilt(exports, ["export_id"], "announcements", builder("typed"), schema, root=".announcements")
+    raw = rebuilt(raw_exports, ["export_id"], "payload", builder("raw"), schema)
+    return typed.unionByName(raw)
+
+
+def announcements_table(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
+    """One row per announcement as delivered: export, `base` and `ann_no`, identifier (null if blank), title, date of posting.
+
+    `base` is the path of its array and `ann_no` its number among the elements of that path in its export, empty and null
+    elements counted; both link it to its children. Announcements without any value have no row.
     """
-    order = Window.partitionBy("source", "rec", "base", "ann_no").orderBy("ords", "seq", "_part")
-    return (
-        leaves.filter(F.col("rest").rlike(_BODY))
-        .select("*", F.posexplode(F.split("v", _PARAGRAPH_GAP)).alias("_part", "paragraph"))
-        .filter(~is_blank(F.col("paragraph")))
-        .withColumn("par_no", F.row_number().over(order))
-        .select("export_id", "source", "rec", "base", "ann_no", "ann_id", "par_no", strip(F.col("paragraph")).alias("paragraph"))
-    )
+    flat = _flat(exports, raw_exports, "announcement", f"{LINK}, title string, _date string, _number boolean")
+    return flat.select("export_id", "source", "base", "ann_no", "ann_id", "title", date_as_written(F.col("_date"), F.col("_number")).alias("posted"))
+
+
+def tags_table(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
+    """One row per tag of an announcement, repeated tags included."""
+    return _flat(exports, raw_exports, "tag", f"{LINK}, tag string")
+
+
+def paragraphs_table(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
+    """One row per non-blank paragraph of a body, numbered from 1 in document order."""
+    return _flat(exports, raw_exports, "paragraph", f"{LINK}, par_no long, paragraph string")
 
 
 def announcement_children(exports: DataFrame, raw_exports: DataFrame) -> DataFrame:
@@ -113,17 +148,20 @@ def announcement_children(exports: DataFrame, raw_exports: DataFrame) -> DataFra
     Announcements without a non-blank identifier have no rows; null arrays, null elements, blank tags and paragraphs,
     senseless dates and invalid JSON give none; repeated announcements of one export give each child once.
     """
-    leaves = announcement_leaves(announcement_levels(exports, raw_exports)).filter("ann_id is not null")
-    rest = F.col("rest")
-    order = Window.partitionBy("source", "rec", "base", "ann_no").orderBy("ords", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    count = F.when(rest.rlike(_BODY), F.size(F.filter(F.split("v", _PARAGRAPH_GAP), lambda x: ~is_blank(x)))).otherwise(0)
-    counted = leaves.withColumn("_n", count).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)).cast("int"))
-    split_tags = F.filter(F.transform(F.when(rest.rlike("tags$"), F.split("v", "[,;]")).otherwise(F.array("v")), lambda t: F.lower(strip(t))), lambda t: t != "")
-    numbers = F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))
-    kinds = (
-        F.when(rest.isin(*_DATES), F.array(F.struct(F.lit("posted").alias("child"), F.col("posted").alias("item"))))
-        .when(rest.rlike(_TAG), F.transform(split_tags, lambda t: F.struct(F.lit("tag").alias("child"), t.alias("item"))))
-        .when(F.col("_n") > 0, F.transform(numbers, lambda i: F.struct(F.lit("body").alias("child"), i.cast("string").alias("item"))))
-    )
-    rows = counted.select("export_id", "ann_id", F.explode(kinds).alias("c")).select("export_id", "ann_id", "c.child", "c.item")
-    return rows.filter("item is not null").distinct()
+    flat = _flat(exports, raw_exports, "child", "ann_id string, child string, _item string, _number boolean")
+    item = F.when(F.col("child") == "posted", date_as_written(F.col("_item"), F.col("_number"))).otherwise(F.col("_item"))
+    return flat.select("export_id", "ann_id", "child", item.alias("item")).filter("item is not null").distinct()
+
+
+def unread_exports(raw_exports: DataFrame) -> DataFrame:
+    """`(export_id, reason)` of JSON exports that yield nothing: unreadable ones and those without any announcement.
+
+    'cleaned' marks exports that are read although they hold halves of surrogate pairs.
+    """
+
+    def build(levels: Levels) -> tuple[list[int], dict[str, list]]:
+        held = {rec for table, _ in announcement_tables(levels) for rec in table.rec} | {i for i, _ in levels.rejects}
+        none = [i for i in range(levels.records) if i not in held]
+        return none, {"reason": ["no announcements"] * len(none)}
+
+    return rejected(raw_exports, ["export_id"], "payload").unionByName(rebuilt(raw_exports, ["export_id"], "payload", build, "reason string"))

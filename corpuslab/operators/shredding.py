@@ -1,71 +1,160 @@
 """Columnar shredding of nested records with repetition and definition levels, and its inverse.
 
-A nested record becomes one *level sequence* per leaf path: rows `(rec, path, seq, r, d, v, is_num)`. `r` is the
-repetition level (the array depth at which this entry starts a new element, 0 for the first entry of a record), `d`
-the definition level (how many optional or repeated steps of the path are present) and `v` the value as text, null
-where the path breaks off early. Absent branches leave an entry too, so the sequences of all leaves below one array
-stay aligned, and the tables of any repeated ancestor can be put together again from the sequences alone: the ordinal
-of an element at array depth k is the running count of entries with `r <= k`.
-
-Two front ends give the same sequences: `shred_column` for typed columns (built-in functions only, one narrow pass) and
-`shred_json` for JSON text of varying shape (Arrow batches in Python, one narrow pass; schema per record).
+A nested record becomes one *level sequence* per leaf path: entries `(rec, seq, r, d, v, is_num)`. `r` is the repetition
+level (the array depth at which this entry starts a new element, 0 for the first entry of a record), `d` the definition
+level (how many nodes of the path are there: 1 for every object, array and value that is not null and 1 for every
+element of an array), `v` the value as text, null where the path breaks off early, and `seq` the entry's place in the
+record's walk. Absent branches leave an entry too, so the sequences of all leaves below one array stay aligned, and the
+table of any repeated ancestor can be put together again from the sequences alone (`Levels.table`).
+
+Two front ends give the same sequences, a batch of records at a time: `arrow_levels` for typed columns (array arithmetic
+on the offsets and validity of the Arrow column, no value is touched) and `json_levels` for JSON text of varying shape.
+`shred` makes them a DataFrame; `rebuilt` puts tables together in the same narrow pass, so that levels never move.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Array depth up to which ordinals are kept.
-MAX_DEPTH = 6
-
-
-def _entry(path: str, r: Column, d: Column, value: Column, is_num: bool) -> Column:
-    return F.struct(
-        F.lit(path).alias("path"),
-        r.cast("int").alias("r"),
-        d.cast("int").alias("d"),
-        value.cast("string").alias("v"),
-        F.lit(is_num).alias("is_num"),
-    )
-
-
-def _column_levels(value: Column, kind: T.DataType, path: str, r: Column, d: Column, depth: int) -> Column:
-    """An array of level entries for every leaf below `value`, built of nested higher-order functions."""
-    here = d + value.isNotNull().cast("int")
-    if isinstance(kind, T.StructType):
-        if not kind.fields:
-            return F.array().cast("array<struct<path:string,r:int,d:int,v:string,is_num:boolean>>")
-        parts = [_column_levels(value[f.name], f.dataType, f"{path}.{f.name}", r, here, depth) for f in kind.fields]
-        return F.concat(*parts)
-    if isinstance(kind, T.ArrayType):
-
-        def element(x: Column, i: Column) -> Column:
-            return _column_levels(x, kind.elementType, f"{path}[]", F.when(i > 0, depth + 1).otherwise(r), here + 1, depth + 1)
-
-        none = _column_levels(F.lit(None).cast(kind.elementType), kind.elementType, f"{path}[]", r, here, depth + 1)
-        return F.when(F.size(value) > 0, F.flatten(F.transform(value, element))).otherwise(none)
-    return F.array(_entry(path, r, here, value, isinstance(kind, T.NumericType)))
-
-
-def shred_column(df: DataFrame, keys: list[str], column: str, source: str, root: str = "") -> DataFrame:
-    """Level sequences of a typed nested column; `root` is the path of the column itself.
-
-    A null column gives one entry per leaf with d = 0; an empty table gives no rows.
-    """
-    kind = df.schema[column].dataType
-    levels = _column_levels(F.col("_nested"), kind, root, F.lit(0), F.lit(0), 0)
-    return (
-        df.select(*keys, F.col(column).alias("_nested"))
-        .withColumn("rec", F.monotonically_increasing_id())
-        .select(*keys, "rec", F.posexplode(levels).alias("seq", "_lv"))
-        .select(*keys, F.lit(source).alias("source"), "rec", "seq", "_lv.*")
-    )
+_STEP = re.compile(r"\[\]|\.[^.\[]*")
+
+
+def field_step(name: str) -> str:
+    """A field's step of a path; characters that mean something in paths are written as in addresses."""
+    return "." + (name.replace("%", "%25").replace(".", "%2E").replace("[", "%5B") if re.search(r"[%.\[]", name) else name)
+
+
+def depth_of(path: str) -> int:
+    """How many arrays a path goes through."""
+    return path.count("[]")
+
+
+def slot_level(path: str) -> int:
+    """The least definition level at which the element exists that a path ending in `[]` leads to."""
+    return sum(2 if step == "[]" else 1 for step in _STEP.findall(path))
+
+
+@dataclass
+class Sequence:
+    """The level sequence of one leaf path over a batch of records, in order of record."""
+
+    path: str
+    rec: list[int] | np.ndarray = field(default_factory=list)
+    seq: list[int] | np.ndarray = field(default_factory=list)
+    r: list[int] | np.ndarray = field(default_factory=list)
+    d: list[int] | np.ndarray = field(default_factory=list)
+    v: list[str | None] = field(default_factory=list)
+    is_num: list[bool] = field(default_factory=list)
+
+    def numbers(self, ancestor: str) -> tuple[np.ndarray, np.ndarray]:
+        """`(number, exists)` of each entry: the place of its element of the ancestor among those of its record, from 1.
+
+        An entry opens an element where `r` is at most the ancestor's depth and `d` says that the element exists.
+        """
+        exists = np.asarray(self.d) >= slot_level(ancestor)
+        opened = np.cumsum((np.asarray(self.r) <= depth_of(ancestor)) & exists)
+        rec = np.asarray(self.rec)
+        first = np.flatnonzero(np.diff(rec, prepend=-1))
+        before = np.where(first > 0, opened[first - 1], 0)
+        return opened - np.repeat(before, np.diff(np.append(first, len(rec)))), exists
+
+
+@dataclass
+class Table:
+    """The flat table of a repeated ancestor: one row per element, `columns` by the rest of the leaf's path."""
+
+    ancestor: str
+    rec: list[int]
+    number: list[int]
+    columns: dict[str, list[str | None]]
+    is_num: dict[str, list[bool]]
+
+
+@dataclass
+class Levels:
+    """The level sequences of a batch of records by leaf path, and the records that could not be read."""
+
+    records: int
+    sequences: dict[str, Sequence] = field(default_factory=dict)
+    rejects: list[tuple[int, str]] = field(default_factory=list)
+    cleaned: list[int] = field(default_factory=list)
+
+    def ancestors(self) -> list[str]:
+        """Every repeated ancestor of a leaf, as a path that ends in `[]`."""
+        return list(dict.fromkeys(path[: m.end()] for path in self.sequences for m in re.finditer(r"\[\]", path)))
+
+    def below(self, ancestor: str) -> list[tuple[str, Sequence]]:
+        """`(rest of the path, sequence)` of the leaves below an ancestor."""
+        n = len(ancestor)
+        return [(p[n:], s) for p, s in self.sequences.items() if p.startswith(ancestor) and (len(p) == n or p[n] in ".[")]
+
+    def table(self, ancestor: str) -> Table:
+        """The table of an ancestor, from the levels alone; `number` links it to the tables of the arrays below.
+
+        Elements are those of any leaf below; leaves without a further array make its columns, null where absent.
+        """
+        own = self.below(ancestor)
+        keys, found = [], []
+        for rest, s in own:
+            number, exists = s.numbers(ancestor)
+            at = np.flatnonzero(exists & (np.asarray(s.r) <= depth_of(ancestor)))
+            keys.append(np.asarray(s.rec)[at].astype(np.int64) << 32 | number[at])
+            if "[]" not in rest:
+                found.append((rest, s, at, keys[-1]))
+        every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        columns, is_num = {}, {}
+        for rest, s, at, key in found:
+            values, numbers = [None] * len(every), [False] * len(every)
+            for to, i in zip(np.searchsorted(every, key).tolist(), at.tolist(), strict=True):
+                values[to], numbers[to] = s.v[i], s.is_num[i]
+            columns[rest], is_num[rest] = values, numbers
+        return Table(ancestor, (every >> 32).tolist(), (every & 0xFFFFFFFF).tolist(), columns, is_num)
+
+
+def _arrow(out: Levels, value: pa.Array, path: str, rec: np.ndarray, r: np.ndarray, d: np.ndarray, at: np.ndarray, depth: int) -> None:
+    """Add the sequences below `value`; entry i looks at place `at[i]` of it, at none if that is negative."""
+    if isinstance(value, pa.ChunkedArray):
+        value = value.combine_chunks()
+    known = np.append(np.asarray(value.is_valid()), False)
+    there = known[np.where(at < 0, len(value), at)]
+    here = d + there
+    at = np.where(there, at, -1)
+    if pa.types.is_struct(value.type):
+        for i in range(value.type.num_fields):
+            _arrow(out, pc.struct_field(value, [i]), path + field_step(value.type.field(i).name), rec, r, here, at, depth)
+    elif pa.types.is_list(value.type) or pa.types.is_large_list(value.type):
+        offsets = np.asarray(value.offsets).astype(np.int64)
+        size = np.append(np.diff(offsets), 0)[at]
+        times = np.maximum(size, 1)
+        of = np.repeat(np.arange(len(at)), times)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        filled = size[of] > 0
+        inner = np.where(filled, offsets[:-1][at[of]] + nth if len(value) else -1, -1)
+        _arrow(out, value.values, f"{path}[]", rec[of], np.where(nth > 0, depth + 1, r[of]), here[of] + filled, inner, depth + 1)
+    else:
+        text = pc.cast(value, pa.string()).to_pylist()
+        number = pa.types.is_integer(value.type) or pa.types.is_floating(value.type) or pa.types.is_decimal(value.type)
+        v = [text[i] if i >= 0 else None for i in at.tolist()]
+        out.sequences[path] = Sequence(path, rec, np.arange(len(rec)), r, here, v, [number] * len(v))
+
+
+def arrow_levels(column: pa.Array, root: str = "") -> Levels:
+    """Level sequences of a typed nested column; `root` is the path of the column itself, whose parents are there."""
+    n = len(column)
+    out = Levels(n)
+    zero = np.zeros(n, np.int64)
+    _arrow(out, column, root, np.arange(n), zero, zero + root.count("."), np.arange(n), 0)
+    return out
 
 
 class _Node:
@@ -74,7 +163,7 @@ class _Node:
     __slots__ = ("elem", "fields", "leaf")
 
     def __init__(self) -> None:
-        self.leaf: int | None = None
+        self.leaf: Sequence | bool = False
         self.fields: dict[str, _Node] = {}
         self.elem: _Node | None = None
 
@@ -87,105 +176,153 @@ class _Node:
             for x in value:
                 self.elem.see(x)
         elif value is not None:
-            self.leaf = 0
+            self.leaf = True
 
-    def number(self, path: str, paths: list[str]) -> None:
-        if self.leaf is not None:
-            self.leaf = len(paths)
-            paths.append(path)
+    def name(self, path: str, sequences: dict[str, Sequence]) -> None:
+        if self.leaf:
+            self.leaf = sequences[path] = Sequence(path)
         for name, node in self.fields.items():
-            node.number(f"{path}.{name}", paths)
+            node.name(path + field_step(name), sequences)
         if self.elem is not None:
-            self.elem.number(f"{path}[]", paths)
+            self.elem.name(f"{path}[]", sequences)
 
 
-def _walk(node: _Node, value: object, r: int, d: int, depth: int, out: list[tuple]) -> None:
-    if node.leaf is not None:
+def _walk(node: _Node, value: object, rec: int, seq: int, r: int, d: int, depth: int) -> int:
+    """Append the entries below a node and return the next place in the record's walk."""
+    if node.leaf:
+        s = node.leaf
+        s.rec.append(rec)
+        s.seq.append(seq)
+        s.r.append(r)
         if value is None or isinstance(value, dict | list):
-            out.append((node.leaf, r, d, None, False))
+            s.d.append(d)
+            s.v.append(None)
+            s.is_num.append(False)
         else:
-            number = isinstance(value, int | float) and not isinstance(value, bool)
-            out.append((node.leaf, r, d + 1, value if isinstance(value, str) else json.dumps(value), number))
-    held = value if isinstance(value, dict) else None
-    for name, sub in node.fields.items():
-        _walk(sub, None if held is None else held.get(name), r, d + (held is not None), depth, out)
+            s.d.append(d + 1)
+            s.v.append(value if isinstance(value, str) else json.dumps(value))
+            s.is_num.append(isinstance(value, int | float) and not isinstance(value, bool))
+        seq += 1
+    if node.fields:
+        held = value if isinstance(value, dict) else None
+        for name, sub in node.fields.items():
+            seq = _walk(sub, None if held is None else held.get(name), rec, seq, r, d + (held is not None), depth)
     if node.elem is not None:
         items = value if isinstance(value, list) else None
         if items:
             for i, x in enumerate(items):
-                _walk(node.elem, x, depth + 1 if i else r, d + 2, depth + 1, out)
+                seq = _walk(node.elem, x, rec, seq, depth + 1 if i else r, d + 2, depth + 1)
         else:
-            _walk(node.elem, None, r, d + (items is not None), depth + 1, out)
+            seq = _walk(node.elem, None, rec, seq, r, d + (items is not None), depth + 1)
+    return seq
 
 
-def json_levels(payload: str | None) -> list[tuple[str, int, int, str | None, bool]]:
-    """Level entries `(path, r, d, v, is_num)` of one JSON text; none for null, invalid or too deeply nested JSON."""
-    if payload is None:
-        return []
-    try:
-        value = json.loads(payload)
-        root, paths, out = _Node(), [], []
-        root.see(value)
-        root.number("", paths)
-        _walk(root, value, 0, 0, 0, out)
-    except (ValueError, RecursionError):
-        return []
-    return [(paths[leaf], r, d, v, n) for leaf, r, d, v, n in out]
+def _without_surrogates(text: str) -> str:
+    return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def shred_json(df: DataFrame, keys: list[str], column: str, source: str) -> DataFrame:
-    """Level sequences of JSON texts whose names, containers and types vary from record to record."""
-    flush = 50_000
+def json_levels(payloads: list[str | None]) -> Levels:
+    """Level sequences of JSON texts, each with a schema of its own.
+
+    Texts that are null, no JSON or nested beyond what the parser takes give no entries but a reject with the reason.
+    Halves of surrogate pairs, which no text can hold, become question marks; `cleaned` lists those records.
+    """
+    out = Levels(len(payloads))
+    for rec, payload in enumerate(payloads):
+        if payload is None:
+            out.rejects.append((rec, "null"))
+            continue
+        try:
+            if "\\ud" in payload or "\\uD" in payload:
+                value = json.loads(payload)
+                text = json.dumps(value, ensure_ascii=False)
+                if (clean := _without_surrogates(text)) != text:
+                    value = json.loads(clean)
+                    out.cleaned.append(rec)
+            else:
+                value = json.loads(payload)
+            root = _Node()
+            root.see(value)
+            names: dict[str, Sequence] = {}
+            root.name("", names)
+            _walk(root, value, rec, 0, 0, 0, 0)
+        except ValueError:
+            out.rejects.append((rec, "no JSON"))
+            continue
+        except RecursionError:
+            out.rejects.append((rec, "nested too deep"))
+            continue
+        for path, s in names.items():
+            whole = out.sequences.setdefault(path, Sequence(path))
+            for part, more in ((whole.rec, s.rec), (whole.seq, s.seq), (whole.r, s.r), (whole.d, s.d), (whole.v, s.v), (whole.is_num, s.is_num)):
+                part.extend(more)
+    return out
+
+
+def levels_of(column: pa.Array, root: str = "") -> Levels:
+    """Level sequences of a column of a batch, JSON if it is text."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return json_levels(column.to_pylist())
+    return arrow_levels(column, root)
+
+
+def rebuilt(df: DataFrame, keys: list[str], column: str, build: Callable[[Levels], tuple[list[int], dict[str, list]]], schema: str, root: str = "", rows: int = 1000) -> DataFrame:
+    """Shred a nested column and put tables together from its levels, in one narrow pass: `(*keys, *schema)`.
+
+    `build` turns the levels of at most `rows` records into the record number of each row and the row's columns. Nothing
+    but the finished rows leaves the pass.
+    """
+    fields = T._parse_datatype_string(schema).fields  # noqa: SLF001
+    base = df.select(*keys, F.col(column).alias("_nested"))
+    made = T.StructType([*[f for f in base.schema.fields if f.name != "_nested"], *fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at: list[int] = []
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
-
-            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                kept = batch.select([*keys, "rec"]).take(pa.array(at, pa.int64()))
-                kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
-                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                names = [*keys, "rec", "seq", "path", "r", "d", "v", "is_num"]
-                return pa.RecordBatch.from_arrays([*kept.columns, *made], names=names)
-
-            for i, payload in enumerate(batch.column(column).to_pylist()):
-                for seq, entry in enumerate(json_levels(payload)):
-                    at.append(i)
-                    for c, x in zip(cols, (seq, *entry), strict=True):
-                        c.append(x)
-                if len(at) >= flush:
-                    yield out()
-                    at.clear()
-                    for c in cols:
-                        c.clear()
-            if at:
-                yield out()
-
-    base = df.select(*keys, F.col(column).cast("string").alias(column)).withColumn("rec", F.monotonically_increasing_id())
-    key_fields = [f for f in base.schema.fields if f.name in keys]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("rec", T.LongType()),
-            T.StructField("seq", T.IntegerType()),
-            T.StructField("path", T.StringType()),
-            T.StructField("r", T.IntegerType()),
-            T.StructField("d", T.IntegerType()),
-            T.StructField("v", T.StringType()),
-            T.StructField("is_num", T.BooleanType()),
-        ]
-    )
-    made = base.mapInArrow(run, schema)
-    return made.select(*keys, F.lit(source).alias("source"), "rec", "seq", "path", "r", "d", "v", "is_num")
-
-
-def with_ordinals(levels: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Add `ords`: for each array depth k the ordinal, within the record, of the element an entry belongs to.
-
-    One exchange by record; a record is one input cell, so no group outgrows a cell. Entries of paths with fewer than k
-    arrays have ordinals beyond their own depth that mean nothing and are not to be read.
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                nested = part.column(part.num_columns - 1)
+                at, columns = build(levels_of(nested, root))
+                taken = [part.column(i).take(pa.array(at, pa.int64())) for i in range(part.num_columns - 1)]
+                built = [pa.array(columns[f.name], arrow.field(f.name).type) for f in fields]
+                yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip([*taken, *built], arrow, strict=True)], schema=arrow)
+
+    return base.mapInArrow(run, made)
+
+
+LEVEL_SCHEMA = "rec long, path string, seq int, r int, d int, v string, is_num boolean"
+
+
+def shred(df: DataFrame, keys: list[str], column: str, root: str = "") -> DataFrame:
+    """The level sequences of a nested or JSON column as rows `(*keys, rec, path, seq, r, d, v, is_num)`.
+
+    `rec` numbers the records of the table. A null typed column gives one entry per leaf; unreadable JSON gives none
+    (see `rejected`), an empty table no rows.
     """
-    run = Window.partitionBy("source", "rec", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ords = F.array(*[F.sum((F.col("r") <= k).cast("int")).over(run) for k in range(1, max_depth + 1)])
-    return levels.repartition("source", "rec").withColumn("ords", ords)
+
+    def build(levels: Levels) -> tuple[list[int], dict[str, list]]:
+        out: dict[str, list] = {x.split()[0]: [] for x in LEVEL_SCHEMA.split(", ") if not x.startswith("rec")}
+        at: list[int] = []
+        for path, s in levels.sequences.items():
+            at.extend(map(int, s.rec))
+            out["path"].extend([path] * len(s.v))
+            for name in ("seq", "r", "d"):
+                out[name].extend(map(int, getattr(s, name)))
+            out["v"].extend(s.v)
+            out["is_num"].extend(s.is_num)
+        return at, out
+
+    numbered = df.select(*keys, column).withColumn("rec", F.monotonically_increasing_id())
+    return rebuilt(numbered, [*keys, "rec"], column, build, LEVEL_SCHEMA.split(", ", 1)[1], root)
+
+
+def rejected(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """`(*keys, reason)` of the JSON texts that give no entries, and 'cleaned' for those with halves of surrogate pairs."""
+
+    def build(levels: Levels) -> tuple[list[int], dict[str, list]]:
+        rows = [*levels.rejects, *((i, "cleaned") for i in levels.cleaned)]
+        return [i for i, _ in rows], {"reason": [x for _, x in rows]}
+
+    return rebuilt(df, keys, column, build, "reason string")

@@ -13,27 +13,31 @@ from corpuslab.sources.tables import table
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Children of announcements of both kinds of export, by level sequences."""
-    return ann.announcement_children(table(spark, root, "announcements"), table(spark, root, "announcements_raw"))
+    return ann.announcement_children(*_exports(spark, root))
 
 
-def _leaves(spark: SparkSession, root: str) -> DataFrame:
-    levels = ann.announcement_levels(table(spark, root, "announcements"), table(spark, root, "announcements_raw"))
-    return ann.announcement_leaves(levels)
+def _exports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, root, "announcements"), table(spark, root, "announcements_raw")
 
 
 def p1_announcements(spark: SparkSession, root: str) -> DataFrame:
     """The flat table of announcements; `base` and `ann_no` link it to its children."""
-    return ann.announcements_table(_leaves(spark, root)).drop("rec")
+    return ann.announcements_table(*_exports(spark, root))
 
 
 def p1_paragraphs(spark: SparkSession, root: str) -> DataFrame:
     """The flat table of paragraphs."""
-    return ann.paragraphs_table(_leaves(spark, root)).drop("rec")
+    return ann.paragraphs_table(*_exports(spark, root))
 
 
 def p1_tags(spark: SparkSession, root: str) -> DataFrame:
     """The flat table of tags."""
-    return ann.tags_table(_leaves(spark, root)).drop("rec")
+    return ann.tags_table(*_exports(spark, root))
+
+
+def p1_unread(spark: SparkSession, root: str) -> DataFrame:
+    """JSON exports that yield nothing, with the reason."""
+    return ann.unread_exports(table(spark, root, "announcements_raw"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -48,7 +52,7 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_announcements, p1_paragraphs, p1_tags, p3_found, p3_report)
+    f.__name__: f for f in (p1_found, p1_announcements, p1_paragraphs, p1_tags, p1_unread, p3_found, p3_report)
 }
 
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]+|[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]+$', '', 'g')"
@@ -76,12 +80,14 @@ found AS (
 """
 
 _MONTH = "lpad(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left({0}, 3)))::VARCHAR, 2, '0')"
+_NAME = r"((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))"
+_TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)? *(?:(?i:z|utc|am|pm)|[+-]\d{2}:?\d{2})?)?"
 _DATE_FORMS = (
-    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ].*)?$", 1, 2, 3, False),
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", 1, 2, 3, False),
     (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3, False),
-    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[T ].*)?$", 3, 2, 1, False),
-    (r"^(\d{1,2})\.? +([A-Za-z]{3,9})\.?,? +(\d{4})$", 3, 2, 1, True),
-    (r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})$", 3, 1, 2, True),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TIME}$", 3, 2, 1, False),
+    (rf"^(\d{{1,2}})\.? +{_NAME}\.?,? +(\d{{4}})$", 3, 2, 1, True),
+    (rf"^{_NAME}\.? +(\d{{1,2}}),? +(\d{{4}})$", 3, 1, 2, True),
 )
 
 
@@ -99,40 +105,53 @@ def _place_sql(paths: list[str]) -> str:
     return "CASE rest " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(paths)) + " END"
 
 
-_DATE_PATHS = [f".{m}.{d}" for m in ann.META_NAMES for d in ann.DATE_NAMES] + [f".{d}" for d in ann.DATE_NAMES]
 _SAID = r"[^\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+_ELEMENT = r"\$(?:.*)?\.announcements\[\d+\]|\$\[\d+\]"
 _P1 = rf"""
 WITH src AS (
   SELECT export_id, 'typed' AS source, to_json({{'announcements': announcements}}) AS j FROM announcements
   UNION ALL SELECT export_id, 'raw', payload::JSON FROM announcements_raw WHERE json_valid(payload)),
+nodes AS (SELECT export_id, source, id, type, atom, fullkey FROM src, json_tree(j)),
+places AS (
+  SELECT export_id, source, fullkey AS spot, substr(regexp_replace(fullkey, '\[\d+\]', '[]', 'g'), 2) AS base,
+    row_number() OVER (PARTITION BY export_id, source, regexp_replace(fullkey, '\[\d+\]', '[]', 'g') ORDER BY id) AS ann_no
+  FROM nodes WHERE regexp_matches(fullkey, '^(?:{_ELEMENT})$')),
 tree AS (
   SELECT export_id, source, id, type IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS num, atom ->> '$' AS v,
-    regexp_extract(fullkey, '^(\$(?:.*)?\.announcements\[\d+\])(.*)$', 1) AS base, regexp_replace(regexp_extract(fullkey, '^(\$(?:.*)?\.announcements\[\d+\])(.*)$', 2), '\[\d+\]', '[]', 'g') AS rest
-  FROM src, json_tree(j) WHERE atom IS NOT NULL AND type <> 'NULL'),
-known AS (SELECT *, regexp_matches(v, '{_SAID}') AS said, {_place_sql([f'.{x}' for x in ann.ID_NAMES])} AS ip, {_place_sql(_DATE_PATHS)} AS dp FROM tree WHERE base <> ''),
+    regexp_extract(fullkey, '^({_ELEMENT})(.*)$', 1) AS spot, regexp_replace(regexp_extract(fullkey, '^({_ELEMENT})(.*)$', 2), '\[\d+\]', '[]', 'g') AS rest
+  FROM nodes WHERE atom IS NOT NULL AND type <> 'NULL'),
+known AS (SELECT *, regexp_matches(v, '{_SAID}') AS said, {_place_sql([f'.{x}' for x in ann.ID_NAMES])} AS ip, {_place_sql([f'.{x}' for x in ann.TITLE_NAMES])} AS tp,
+  {_place_sql(ann.DATE_PATHS)} AS dp FROM tree WHERE spot <> ''),
 own AS (
-  SELECT export_id, source, base, arg_min(v, ip) FILTER (said AND ip IS NOT NULL) AS iv, arg_min(v, dp) FILTER (said AND dp IS NOT NULL) AS dv, arg_min(num, dp) FILTER (said AND dp IS NOT NULL) AS dn
+  SELECT export_id, source, spot, arg_min(v, ip) FILTER (said AND ip IS NOT NULL) AS iv, arg_min(v, tp) FILTER (said AND tp IS NOT NULL) AS title,
+    arg_min(v, dp) FILTER (said AND dp IS NOT NULL) AS dv, arg_min(num, dp) FILTER (said AND dp IS NOT NULL) AS dn
   FROM known GROUP BY ALL),
-named AS (SELECT export_id, source, base, {_STRIP.format('iv')} AS ann_id, {_STRIP.format('dv')} AS dt, dn FROM own WHERE iv IS NOT NULL),
-leaf AS (SELECT k.*, ann_id FROM known k JOIN named USING (export_id, source, base)),
+named AS (SELECT export_id, source, spot, base, ann_no, {_STRIP.format('iv')} AS ann_id, title, {_STRIP.format('dv')} AS dt, dn FROM own JOIN places USING (export_id, source, spot)),
+leaf AS (SELECT k.*, ann_id, base, ann_no FROM known k JOIN named USING (export_id, source, spot)),
 tags AS (
-  SELECT export_id, ann_id, lower({_STRIP.format('t')}) AS item FROM (
-    SELECT export_id, ann_id, unnest(CASE WHEN rest LIKE '%tags' THEN regexp_split_to_array(v, '[,;]') ELSE [v] END) AS t FROM leaf
+  SELECT export_id, source, base, ann_no, ann_id, lower({_STRIP.format('t')}) AS tag FROM (
+    SELECT *, unnest(CASE WHEN rest LIKE '%tags' THEN regexp_split_to_array(v, '[,;]') ELSE [v] END) AS t FROM leaf
     WHERE regexp_matches(rest, '^\.(?:(?:content|details)\.)?tags(?:\[\])*(?:\.(?:label|name))?$'))),
 paras AS (
-  SELECT export_id, ann_id, row_number() OVER (PARTITION BY export_id, source, base ORDER BY id, k)::VARCHAR AS item FROM (
-    SELECT export_id, source, base, ann_id, id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS t FROM (
+  SELECT export_id, source, base, ann_no, ann_id, row_number() OVER (PARTITION BY export_id, source, spot ORDER BY id, k) AS par_no, {_STRIP.format('t')} AS paragraph FROM (
+    SELECT *, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS t FROM (
       SELECT *, regexp_split_to_array(v, '\r?\n[\s\p{{Z}}]*\n') AS l FROM leaf
       WHERE regexp_matches(rest, '^\.(?:(?:content|details)\.)?body(?:\[\]|\.sections|\.paragraphs|\.(?:text|message|body|content|description|summary))*$')))
   WHERE regexp_matches(t, '{_SAID}')),
-dates AS (SELECT export_id, ann_id, CASE WHEN dn THEN strftime(make_timestamp((try_cast(dt AS DOUBLE) * 1000000)::BIGINT), '%Y-%m-%d') ELSE {_date_sql('dt')} END AS item FROM named)
-SELECT DISTINCT export_id, ann_id, 'posted' AS child, item FROM dates WHERE item IS NOT NULL
-UNION ALL SELECT DISTINCT export_id, ann_id, 'tag', item FROM tags WHERE item <> ''
-UNION ALL SELECT DISTINCT export_id, ann_id, 'body', item FROM paras
+anns AS (SELECT *, CASE WHEN dn THEN strftime(make_timestamp((try_cast(dt AS DOUBLE) * 1000000)::BIGINT), '%Y-%m-%d') ELSE {_date_sql('dt')} END AS posted FROM named)
 """
+_P1_CHILDREN = """SELECT DISTINCT export_id, ann_id, 'posted' AS child, posted AS item FROM anns WHERE ann_id IS NOT NULL AND posted IS NOT NULL
+UNION ALL SELECT DISTINCT export_id, ann_id, 'tag', tag FROM tags WHERE ann_id IS NOT NULL AND tag <> ''
+UNION ALL SELECT DISTINCT export_id, ann_id, 'body', par_no::VARCHAR FROM paras WHERE ann_id IS NOT NULL"""
 
 ORACLES: dict[str, str] = {
-    "p1_found": _P1,
+    "p1_found": _P1 + _P1_CHILDREN,
+    "p1_announcements": _P1 + "SELECT export_id, source, base, ann_no, ann_id, title, posted FROM anns",
+    "p1_tags": _P1 + "SELECT export_id, source, base, ann_no, ann_id, tag FROM tags WHERE tag <> ''",
+    "p1_paragraphs": _P1 + "SELECT export_id, source, base, ann_no, ann_id, par_no, paragraph FROM paras",
+    "p1_unread": _P1
+    + """SELECT export_id, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'no JSON' ELSE 'no announcements' END AS reason
+FROM announcements_raw WHERE export_id NOT IN (SELECT export_id FROM anns WHERE source = 'raw')""",
     "p3_found": _P3 + "SELECT ref_table, row_id, ref_month, reason FROM found WHERE reason IS NOT NULL",
     "p3_report": _P3 + "SELECT ref_table, ref_month, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
 }

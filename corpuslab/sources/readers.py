@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 
 from corpuslab.functions.keys import is_blank
 from corpuslab.functions.text import collapse
-from corpuslab.operators.announcements import announcement_leaves, announcements_table, paragraphs_table
+from corpuslab.operators.announcements import announcements_table, paragraphs_table
 from corpuslab.operators.records import FIELDS, faq_records, shape
-from corpuslab.operators.shredding import shred_json, with_ordinals
 
 RECORD_SCHEMA = T.StructType([T.StructField(f, T.StringType(), False) for f in FIELDS])
 FAQ_SCHEMA = "faq_id string, category string, question string, answer string, updated string"
@@ -37,16 +36,20 @@ def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def announcement_json_records(spark: SparkSession, path: str, source_file: str = "announcements.json") -> DataFrame:
-    """Records of JSON announcement exports of varying shape: title and all paragraphs make the text.
+    """Records of a folder of JSON announcement exports of varying shape."""
+    return announcement_payload_records(read_json_payloads(spark, path), source_file)
+
+
+def announcement_payload_records(payloads: DataFrame, source_file: str = "announcements.json") -> DataFrame:
+    """Records of `(export_id, payload)` of JSON announcement exports: title and all paragraphs make the text.
 
     Announcements without an identifier are left out; one without a body has its title as its text, so that checking
     rejects it.
     """
-    levels = with_ordinals(shred_json(read_json_payloads(spark, path), ["export_id"], "payload", "raw"))
-    leaves = announcement_leaves(levels).filter("ann_id is not null")
-    own = ["source", "rec", "base", "ann_no"]
-    body = paragraphs_table(leaves).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("par_no", "paragraph"))).alias("p"))
-    joined = announcements_table(leaves).join(body, own, "left")
+    none = payloads.sparkSession.createDataFrame([], "export_id long, announcements array<struct<id string>>")
+    own = ["export_id", "source", "base", "ann_no"]
+    body = paragraphs_table(none, payloads).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("par_no", "paragraph"))).alias("p"))
+    joined = announcements_table(none, payloads).filter("ann_id is not null").join(body, own, "left")
     text = F.concat_ws(" ", "title", F.concat_ws(" ", F.transform("p", lambda x: x["paragraph"])))
     return shape(
         joined.select(

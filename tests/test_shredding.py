@@ -1,11 +1,13 @@
 import json
+from collections import Counter
 from datetime import datetime
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuslab.operators.announcements import announcement_children, announcement_leaves, announcement_levels, announcements_table
-from corpuslab.operators.shredding import json_levels, shred_column, with_ordinals
+from corpuslab.operators.announcements import announcement_children, announcements_table, paragraphs_table, tags_table, unread_exports
+from corpuslab.operators.shredding import arrow_levels, json_levels, shred
 
 TYPED = (
     "export_id long, received_at timestamp_ntz, announcements array<struct<id:string,title:string,"
@@ -44,7 +46,7 @@ def test_dates(spark):
     dates = {
         "2026-04-11": "2026-04-11", "2025-08-05 00:04": "2025-08-05", "26/11/2025": "2025-11-26", "2025-08-04T23:59:00Z": "2025-08-04", "20251112": "2025-11-12",
         " 05.04.2026": "2026-04-05", "November 22, 2025": "2025-11-22", "12 May 2026": "2026-05-12", "soon": None, "": None, "31/02/2026": None, "1755944608": None,
-        "2026-13-01": None, "99 May 2026": None, "5 Mud 2026": None,
+        "2026-13-01": None, "99 May 2026": None, "5 Mud 2026": None, "Marble 3, 2024": None, "2026-04-11 or later": None, "3 Sept 2025": "2025-09-03", "2026-04-11 9:05 pm": "2026-04-11",
     }
     typed = [(i, None, [ann("A", d)], None, None) for i, d in enumerate(dates)]
     got = {r[0]: r[3] for r in children(spark, typed)}
@@ -68,42 +70,74 @@ def test_very_long_body(spark):
 
 
 def test_links_of_flat_tables(spark):
-    levels = announcement_levels(spark.createDataFrame([(1, None, [ann("A"), None, ann("B")], None, None)], TYPED), spark.createDataFrame([], RAW))
-    rows = announcements_table(announcement_leaves(levels)).orderBy("ann_no").collect()
-    assert [(r.ann_no, r.ann_id) for r in rows] == [(1, "A"), (3, "B")]
-
-
-def rebuilt(levels, depth):
-    """The nested lists of one leaf from its level sequence alone."""
-    root = []
-    for _, r, d, v, _ in levels:
-        at = root
-        for k in range(1, depth + 1):
-            if d < 2 * k:
-                break
-            if k >= max(r, 1):
-                at.append([] if k < depth else v)
-            at = at[-1] if k < depth else at
-    return root
+    typed = spark.createDataFrame([(1, None, [ann("A", None, "x\n\ny", ["k"]), None, ann("B", None, "z", ["l", "m"])], None, None)], TYPED)
+    paged = {"pages": [{"announcements": [None, {"id": "C", "tags": ["n"]}]}, {"announcements": []}, {"announcements": [{"id": " ", "title": "T", "body": "p"}]}]}
+    raw = spark.createDataFrame([(2, None, json.dumps(paged), None)], RAW)
+    rows = announcements_table(typed, raw).orderBy("export_id", "ann_no").collect()
+    assert [(r.export_id, r.base, r.ann_no, r.ann_id) for r in rows] == [
+        (1, ".announcements[]", 1, "A"), (1, ".announcements[]", 3, "B"), (2, ".pages[].announcements[]", 2, "C"), (2, ".pages[].announcements[]", 3, ""),
+    ][:3] + [(2, ".pages[].announcements[]", 3, None)]
+    assert sorted((r.export_id, r.ann_no, r.tag) for r in tags_table(typed, raw).collect()) == [(1, 1, "k"), (1, 3, "l"), (1, 3, "m"), (2, 2, "n")]
+    assert sorted((r.export_id, r.ann_no, r.par_no, r.paragraph) for r in paragraphs_table(typed, raw).collect()) == [(1, 1, 1, "x"), (1, 1, 2, "y"), (1, 3, 1, "z"), (2, 3, 1, "p")]
+
+
+def test_dirty_payloads_end_no_job_and_leave_a_row(spark):
+    deep = '{"announcements": [{"id": "D"}], "x": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    half = '{"announcements": [{"id": "S", "body": "a\\ud800b", "tags": ["\\ud83d\\ude00"]}]}'
+    other = '{"announcements": [{"id": "E", "a.b": {"c": 1}, "a": {"b": {"c": 2}}, "a[]": 3, "body": "x"}], "deep": ' + "[" * 50 + "1" + "]" * 50 + "}"
+    raw = [(1, None, deep, None), (2, None, half, None), (3, None, other, None), (4, None, '{"items": [1]}', None), (5, None, "nope", None), (6, None, None, None)]
+    assert children(spark, (), raw) == {(2, "S", "body", "1"), (2, "S", "tag", "😀"), (3, "E", "body", "1")}
+    got = {tuple(r) for r in unread_exports(spark.createDataFrame(raw, RAW)).collect()}
+    assert got == {(1, "nested too deep"), (2, "cleaned"), (4, "no announcements"), (5, "no JSON"), (6, "null")}
+
+
+VALUES = st.recursive(st.none() | st.integers(0, 9).map(str), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["a", "b", "a.b"]), x, max_size=3), max_leaves=12)
+
+
+def elements(value, path=""):
+    """Every element of every array with its path and what stands in it directly."""
+    if isinstance(value, dict):
+        for k, x in value.items():
+            yield from elements(x, f"{path}.{k.replace('.', '%2E')}")
+    elif isinstance(value, list):
+        for x in value:
+            yield f"{path}[]", x
+            yield from elements(x, f"{path}[]")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(VALUES, min_size=1, max_size=3))
+def test_tables_of_every_ancestor(values):
+    """The tables put together from levels hold each element of each array once, with what stands in it."""
+    levels = json_levels([json.dumps(v) for v in values])
+    for ancestor in levels.ancestors():
+        table = levels.table(ancestor)
+        want = Counter()
+        for rec, value in enumerate(values):
+            with_leaf = {p for p, s in levels.sequences.items() if rec in s.rec and p.startswith(ancestor)}
+            for n, (_, x) in enumerate(((p, x) for p, x in elements(value) if p == ancestor), 1):
+                if with_leaf:
+                    want[rec, n, x if isinstance(x, str) else None, x.get("a") if isinstance(x, dict) and isinstance(x.get("a"), str) else None] += 1
+        own, a = table.columns.get("", [None] * len(table.rec)), table.columns.get(".a", [None] * len(table.rec))
+        assert Counter(zip(table.rec, table.number, own, a, strict=True)) == want
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 9)), min_size=1).filter(lambda x: any(x)))
-def test_round_trip_of_nested_lists(value):
-    levels = json_levels(json.dumps(value))
-    assert rebuilt([x for x in levels if x[0] == "[][]"], 2) == [[str(x) for x in row] for row in value]
-
-
-def test_both_front_ends_agree(spark):
-    value = [{"a": [1, 2], "b": "x"}, {"a": [], "b": None}, None, {"a": None, "b": "y"}]
-    typed = shred_column(spark.createDataFrame([(1, value)], "k long, v array<struct<a:array<long>,b:string>>"), ["k"], "v", "s")
-    got = sorted((r.path, r.seq, r.r, r.d, r.v) for r in typed.collect())
-    by_path = {}
-    for path, _, r, d, v in got:
-        by_path.setdefault(path, []).append((r, d, v))
-    other = {}
-    for path, r, d, v, _ in json_levels(json.dumps(value)):
-        other.setdefault(path, []).append((r, d, v))
-    assert by_path == other
-    ords = {(r.path, r.seq): r.ords[0] for r in with_ordinals(typed).collect() if r.path == "[].b"}
-    assert sorted(ords.values()) == [1, 2, 3, 4]
+@given(st.lists(st.none() | st.lists(st.none() | st.fixed_dictionaries({"a": st.none() | st.lists(st.none() | st.integers(0, 9), max_size=3), "b": st.none() | st.text("xy", max_size=2)}), max_size=3), max_size=4))
+def test_both_front_ends_agree(values):
+    kind = pa.list_(pa.struct([("a", pa.list_(pa.int64())), ("b", pa.string())]))
+    typed = arrow_levels(pa.array([None, *values], kind).slice(1))
+    other = json_levels([json.dumps(v) for v in values])
+    for path in (".a", "[].a[]", "[].b"):
+        s, o = typed.sequences.get(path), other.sequences.get(path)
+        if o is not None:
+            for rec in set(o.rec):  # a path that no element of a record has is unknown to JSON
+                got = [(int(r), int(d), v) for x, r, d, v in zip(s.rec, s.r, s.d, s.v, strict=True) if x == rec]
+                assert got == [(r, d, v) for x, r, d, v in zip(o.rec, o.r, o.d, o.v, strict=True) if x == rec]
+
+
+def test_levels_as_rows(spark):
+    df = spark.createDataFrame([(1, '{"a": [1, "x"], "b": null}', "c"), (2, "oops", "c"), (3, None, "c")], "k long, v string, rec string")
+    got = sorted((r.k, r.path, r.r, r.d, r.v, r.is_num) for r in shred(df.drop("rec"), ["k"], "v").collect())
+    assert got == [(1, ".a[]", 0, 4, "1", True), (1, ".a[]", 1, 4, "x", False)]
+    assert shred(df.limit(0).drop("rec"), ["k"], "v").count() == 0
