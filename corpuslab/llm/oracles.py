@@ -60,6 +60,18 @@ _LEAKED = f"""
 WITH found AS (SELECT DISTINCT item_id, doc_id FROM ({_LEAKS.format(id='item_id', table='eval_items')}) JOIN ({_LEAKS.format(id='doc_id', table='documents')}) USING (gram))
 """
 
+_MIX_SHARES = f"""
+WITH sized AS (SELECT doc_id, {_norm('source')} AS source, len(regexp_extract_all(lower(coalesce(text, '')), '{_UNIT}')) AS tokens FROM documents),
+total AS (SELECT sum(tokens) AS all_tokens FROM sized),
+goals AS (SELECT t.source, t.target_share, max_repeat, {_norm('t.source')} AS key, s.tokens AS of_source, least(t.target_share * all_tokens::DOUBLE, (s.tokens * max_repeat)::DOUBLE) AS goal
+  FROM mix_targets t CROSS JOIN total LEFT JOIN (SELECT source, sum(tokens) AS tokens FROM sized GROUP BY source) s ON s.source = {_norm('t.source')}),
+placed AS (SELECT source, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized WHERE tokens > 0),
+uses AS (SELECT g.source, g.goal, p.tokens, p.before, g.of_source, unnest(range(1, greatest(max_repeat, 1) + 1)) AS use FROM placed p JOIN goals g ON p.source = g.key),
+used AS (SELECT source, sum(tokens)::BIGINT AS used_tokens, count(*) AS uses FROM uses WHERE (use - 1) * of_source + before < goal GROUP BY source)
+SELECT source, target_share, coalesce(used_tokens, 0)::BIGINT AS used_tokens, coalesce(uses, 0)::BIGINT AS uses,
+  round(coalesce(used_tokens, 0) / (SELECT sum(used_tokens) FROM used), 6)::DOUBLE AS actual_share FROM goals LEFT JOIN used USING (source)
+"""
+
 _MIX = f"""
 WITH sized AS (SELECT {_norm('source')} AS source, len(regexp_extract_all(lower(coalesce(text, '')), '{_UNIT}')) AS tokens FROM documents)
 SELECT source FROM mix_targets t WHERE coalesce((SELECT sum(tokens) FROM sized s WHERE s.source = {_norm('t.source')}), 0) * max_repeat
@@ -83,4 +95,5 @@ FROM totals t LEFT JOIN cost_by_source c ON {_norm('t.source_type')} = {_norm('c
     "p7_found": _LEAKED + "SELECT item_id, doc_id FROM found",
     "p7_clean": _LEAKED + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     "p8_found": _MIX,
+    "p8_shares": _MIX_SHARES,
 }
