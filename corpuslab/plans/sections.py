@@ -92,7 +92,8 @@ def compose_matrices(spark: SparkSession, root: str) -> DataFrame:
 
 def split_long_sections(spark: SparkSession, root: str) -> DataFrame:
     """Sections with the long ones cut at sentence ends."""
-    return sg.split_long(sg.sections(_lines(spark, root), "doc_id"), "doc_id")
+    made = sg.split_long(sg.sections(_lines(spark, root), "doc_id"), "doc_id")
+    return made.select("doc_id", "section_no", F.col("part_no").cast("long").alias("part_no"), "title", F.md5("body").alias("body"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -100,13 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (line_scores, headings, sections_merged, sections_by_font, body_sizes, heading_key_sets, char_windows, font_lines, compose_matrices, split_long_sections)
 }
 
-_RX = {
-    "furn": r"(?i)(^\s*\d+\s*$|\bpage\s+\d+\b|\d+\s*\|\s*page|^\s*(revised?|updated?|effective)\s|©|copyright|www\.|https?://|\.{6,}|^[^\p{L}\p{N}]+$|\bconfidential\b)",
-    "data": r"(?i)^[^:]{2,45}:\s*[~<>≈approx.]{0,7}\s*[\$£€]?\s*[\d,]+(?:\.\d+)?\s*%?\s*$",
-    "num": r"^(\d+(?:\.\d+)*)[.)]?\s+(\S.*)$",
-    "let": r"^([A-Z])[.)]\s+(\S.*)$",
-    "lab": r"(?i)^(section|article|appendix|part|chapter)\s+[\dIVXA-Z]+\b[.:\s]*(.*)$",
-}
+_RX = {"furn": sg.FURNITURE, "data": sg.DATA_ROW, "num": sg.NUMBERED, "let": sg.LETTERED, "lab": sg.LABELLED}
 _STARTERS = ", ".join(f"'{w}'" for w in sg.SENTENCE_STARTERS)
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
@@ -156,10 +151,21 @@ def _rest(name: str) -> str:
 
 _TITLE = f"CASE WHEN {_m('title', 'num')} THEN {_rest('num')} WHEN {_m('title', 'let')} THEN {_rest('let')} WHEN {_m('title', 'lab')} THEN {_rest('lab')} ELSE title END"
 
+_PACKED = """, long AS (SELECT doc_id, section_no, title, regexp_split_to_array(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM merged WHERE length(body) > 1200),
+walk AS (SELECT doc_id, section_no, 0 AS i, []::VARCHAR[] AS done, '' AS held FROM long
+  UNION ALL SELECT w.doc_id, w.section_no, i + 1, CASE WHEN held <> '' AND length(held) + 1 + length(l[i + 1]) > 900 THEN list_append(done, trim(held)) ELSE done END,
+    CASE WHEN held <> '' AND length(held) + 1 + length(l[i + 1]) > 900 THEN right(held, 160) || ' ' || l[i + 1] ELSE trim(held || ' ' || l[i + 1]) END
+  FROM walk w JOIN long USING (doc_id, section_no) WHERE i < len(l)),
+packed AS (SELECT w.doc_id, w.section_no, CASE WHEN trim(held) <> '' THEN list_append(done, trim(held)) ELSE done END AS parts FROM walk w JOIN long USING (doc_id, section_no) WHERE i = len(l)),
+parted AS (SELECT m.doc_id, m.section_no, m.title, CASE WHEN len(parts) > 1 THEN parts ELSE [m.body] END AS parts FROM merged m LEFT JOIN packed USING (doc_id, section_no))
+SELECT doc_id, section_no::BIGINT AS section_no, i AS part_no, CASE WHEN len(parts) = 1 THEN title ELSE title || ' (' || i || ' of ' || len(parts) || ')' END AS title, md5(parts[i]) AS body
+FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM parted)"""
+
 ORACLES: dict[str, str] = {
     "line_scores": _LINES + "SELECT doc_id, line_no, score::BIGINT AS score FROM scored",
     "headings": _LINES + "SELECT doc_id, line_no FROM scored WHERE score >= 5",
     "sections_merged": _LINES + _sections("scored", "score >= 5", _TITLE, "(length(body) >= 40 OR body = '')") + "SELECT doc_id, section_no::BIGINT AS section_no, title, md5(body) AS body FROM merged",
+    "split_long_sections": (_LINES + _sections("scored", "score >= 5", _TITLE, "(length(body) >= 40 OR body = '')") + _PACKED).replace("WITH docs AS", "WITH RECURSIVE docs AS"),
     "sections_by_font": _FONT + _sections("boosted", f"(score + boost >= 5 AND length(line) <= 90 AND NOT {_m('line', 'furn')})", "title", "length(body) >= 40") + "SELECT doc_id, section_no::BIGINT AS section_no, md5(title) AS title, md5(body) AS body FROM merged",
     "body_sizes": _FONT + "SELECT doc_id, body_size FROM sizes",
     "heading_key_sets": _FONT + "SELECT doc_id, array_to_string(list_sort(list(DISTINCT lower(regexp_replace(line, '[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x{85}]+', '', 'g')))), '|') AS keys FROM boosted WHERE boost > 0 GROUP BY doc_id",

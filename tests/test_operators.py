@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -188,15 +189,38 @@ def test_sections_equal_the_sequential_rule(spark):
         assert got.get(d, []) == want
 
 
-def test_packing_and_respacing(spark):
+def packed_by_hand(body, most, target, overlap):
+    """The same by strings: a part is closed when the next sentence does not fit."""
+    out, part = [], ""
+    for sentence in re.split(r"(?<=[.!?])\s+", body):
+        if part and len(part) + len(sentence) >= target:
+            out.append(part.strip())
+            part = part[len(part) - min(overlap, len(part)) :] + " " + sentence
+        else:
+            part = (part + " " + sentence).strip()
+    out = [x for x in [*out, part.strip()] if x]
+    return out if len(body) > most and len(out) > 1 else [body]
+
+
+def test_packing(spark):
+    rng = random.Random(3)
+    bodies = [" ".join("w" * rng.randint(1, 9) + rng.choice([".", "", "!", "? x"]) for _ in range(rng.randint(1, 60))) for _ in range(150)] + ["", "short", "x" * 3000, ". " * 400, "a.  b." * 90]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, body string")
+    got = {r.i: r.p for r in df.select("i", segments.packed_sentences(F.col("body"), 60, 45, 12).alias("p")).collect()}
+    assert got == {i: packed_by_hand(b, 60, 45, 12) for i, b in enumerate(bodies)}
     body = " ".join(f"Sentence number {i} is here." for i in range(100))
-    parts = segments.packed_sentences(body)
-    assert len(parts) > 1 and all(len(p) <= 900 + 160 + 60 for p in parts) and all(p.endswith(".") for p in parts)
-    assert segments.packed_sentences("short") == ["short"]
-    lines = spark.createDataFrame([(1, 0, "Theclub opens"), (1, 1, "xx registrationforms yy")], "p long, line_no int, line string")
-    pages = spark.createDataFrame([(1, "The club opens\nRegistration forms are here")], "p long, page string")
-    got = [r.line for r in segments.respace(lines, pages, "p").orderBy("line_no").collect()]
-    assert got[0] == "The club opens" and got[1] in ("xx Registration forms yy", "xx registrationforms yy")
+    rows = segments.split_long(spark.createDataFrame([(1, 1, "T", body), (1, 2, "S", "short"), (1, 3, "N", None)], "d long, section_no int, title string, body string"), "d").orderBy("section_no", "part_no").collect()
+    assert [r.body for r in rows if r.section_no == 1] == packed_by_hand(body, 1200, 900, 160) and rows[0].title == f"T (1 of {len(rows) - 1})" and rows[-1].title == "S"
+
+
+def test_respacing(spark):
+    page = "The club opens\nThe  club has no payment.plan today\nRegistration forms are here\nThe club opens again"
+    given = ["Theclub opens", "xx registrationforms.yy", "Theclubhasnopayment.plan xx", "theclubopens", None, " ", "nowhere at all", "e-mailaddressesof members"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(given)] + [(2, 0, "Noto page"), (3, 0, "Null page")], "p long, line_no int, line string")
+    pages = spark.createDataFrame([(1, page), (3, None)], "p long, page string")
+    got = {(r.p, r.line_no): r.line for r in segments.respace(lines, pages, "p").collect()}
+    assert [got[1, i] for i in range(8)] == ["The club opens", "xx registrationforms.yy", "The club has no payment.plan xx", "The club opens", None, " ", "nowhere at all", "e-mailaddressesof members"]
+    assert got[2, 0] == "Noto page" and got[3, 0] == "Null page"
 
 
 def test_lines_from_runs(spark):
