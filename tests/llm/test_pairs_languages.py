@@ -1,5 +1,7 @@
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,15 +127,40 @@ def test_held_out_sentences(model):
     rng = random.Random(1)
     for lang, ts in SAMPLES.items():
         words = " ".join(ts).split()
-        mixed = [" ".join(rng.sample(words, 9)) for _ in range(20)]
-        best = languages.similarities(mixed, model).argmax(1)
+        mixed = [languages.words_of(" ".join(rng.sample(words, 9))) for _ in range(20)]
+        best = languages.similarities(mixed, model)[0].argmax(1)
         assert sum(model.langs[i] == lang for i in best) >= 18
 
 
-def test_rejection_and_confidence(model):
-    langs, main, sure, segments = languages.label_documents(["Ωμέγα ψυχή λόγος θάλασσα ἄνθρωπος."], model)[0]
+#: Texts in languages that no labelled sentence is in, near ones among them.
+UNKNOWN = [
+    "I genitori devono riportare le maglie entro la fine di maggio. La riunione del gruppo giovanile si tiene a marzo nella palestra. Chi perde il gilet paga dieci euro al club prima della partita.",
+    "Els pares han de tornar les samarretes abans de final de maig. La reunió del grup juvenil es fa al març al camp de baix. Qui perdi l'armilla ha de pagar deu euros al club.",
+    "Forældrene skal aflevere trøjerne inden udgangen af maj. Mødet for ungdomsgruppen holdes i marts i hallen. Den der mister vesten betaler ti euro til klubben.",
+    "Föräldrarna måste lämna tillbaka tröjorna före slutet av maj. Mötet för ungdomsgruppen hålls i mars i hallen.",
+    "Foreldrene må levere tilbake trøyene før slutten av mai. Møtet for ungdomsgruppen holdes i mars i hallen.",
+    "Rodzice muszą zwrócić koszulki do końca maja. Spotkanie grupy młodzieżowej odbywa się w marcu w hali.",
+    "Părinții trebuie să returneze tricourile înainte de sfârșitul lunii mai. Ședința grupului de tineret este în martie în sală.",
+    "Veliler formaları mayıs sonuna kadar geri getirmelidir.",
+    "Ωμέγα ψυχή λόγος θάλασσα ἄνθρωπος.",
+]
+
+
+@pytest.mark.parametrize("text", UNKNOWN)
+def test_rejection(text):
+    path = Path("/root/testdata/sf0.01/lang_samples.parquet")
+    if not path.exists():
+        pytest.skip("no labelled sentences")
+    full = languages.fit([(r["lang"], r["text"]) for r in pq.read_table(path).to_pylist()])
+    langs, main, _, segments = languages.label_documents([text], full)[0]
     assert (langs, main, segments) == ([], None, [])
-    sims = languages.similarities(["Die Eltern müssen die Trikots bis Ende Mai zurückgeben.", "", "123"], model)
+    own = [r["text"] for r in pq.read_table(path).to_pylist()]
+    found = languages.label_documents(own, full)
+    assert sum(bool(x[0]) for x in found) == len(own)
+
+
+def test_confidence(model):
+    sims, _ = languages.similarities([languages.words_of(x) for x in ("Die Eltern müssen die Trikots bis Ende Mai zurückgeben.", "", "123")], model)
     assert 1 / 6 <= float(languages.confidence(sims)[0]) <= 1 and not sims[1:].any()
 
 
