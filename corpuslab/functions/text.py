@@ -46,7 +46,13 @@ class Tokenizer:
     lower: bool = True
 
     def __call__(self, text: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(text) if self.lower else text, F.lit(self.pattern), F.lit(0))
+        text = F.lower(text) if self.lower else text
+        run = re.fullmatch(r"(\[[^\]]+\])\+", self.pattern)
+        if run and self.stop:  # maximal runs of one class: one pattern takes the stop words out, without a pass over the array
+            c = run[1]
+            pattern = rf"(?<!{c})(?!(?:{'|'.join(self.stop)})(?!{c})){c}{{{self.least},}}"
+            return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
         if self.stop:
             stop = F.array(*[F.lit(w) for w in self.stop])
             return F.filter(found, lambda t: (F.length(t) >= self.least) & ~F.array_contains(stop, t))

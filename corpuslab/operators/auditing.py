@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators.quantiles import numbered
+from corpuslab.session import cut_lineage
 
 #: Fixed value: a line of a table of contents.
 DOTS = r"\.{6,}"
@@ -135,34 +140,64 @@ def evidence(answers: DataFrame, docs: DataFrame, qid: str, answer: str, key: st
     """`(qid, place, key, sentence, score)`: the sentences that share most rare words with each answer, at least two.
 
     Shared words over the sentence's to the power 0.4; of sentences with the same first 40 characters only the best
-    counts. The answers are a stated audit set; their words are broadcast and meet the exploded sentence words in an equi
-    join, so no answer is compared with every sentence.
+    counts. The answers are a stated audit set: their words go to the tasks, where each sentence meets the answers of its
+    words in one count over arrays; only the best sentences of a batch, n for each answer, leave it.
     """
     words = F.array_distinct(tx.tokens(F.coalesce(F.col(answer), F.lit("")), "audit"))
-    asked = F.broadcast(answers.select(qid, F.explode(words).alias("w")))
-    cut = docs.select(key, F.posexplode(F.transform(tx.sentences(F.col(text)), lambda s: F.trim(s))).alias("pos", "s")).filter(F.length("s") > least)
+    asked = answers.select(qid, words.alias("w")).collect()
+    ids = [r[0] for r in asked]
+    holders: dict[str, list[int]] = {}
+    for i, r in enumerate(asked):
+        for w in r["w"]:
+            holders.setdefault(w, []).append(i)
+    of = {w: np.array(x, np.int64) for w, x in holders.items()}
+    none = np.zeros(0, np.int64)
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        """The n best rows of each answer, one for each opening."""
+        found = found.sort_values(["q", "score", "key", "pos"], ascending=[True, False, True, True]).drop_duplicates(["q", "head"])
+        return found.groupby("q", sort=False).head(n)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 2000):
+                part = batch.iloc[a : a + 2000]
+                size = part["own"].map(len).to_numpy()
+                met = [np.concatenate([of.get(w, none) for w in own]) if len(own) else none for own in part["own"]]
+                at = np.repeat(np.arange(len(part)), [len(x) for x in met]) * max(len(ids), 1) + (np.concatenate(met) if met else none)
+                pair, hits = np.unique(at, return_counts=True)
+                pair, hits = pair[hits >= 2], hits[hits >= 2]
+                row, q = pair // max(len(ids), 1), pair % max(len(ids), 1)
+                taken = part.iloc[row]
+                found = pd.DataFrame({"q": q, "key": taken["key"].to_numpy(), "pos": taken["pos"].to_numpy(), "s": taken["s"].to_numpy(), "hit": hits, "size": size[row]})
+                found["score"] = np.round(found["hit"] / found["size"] ** 0.4, 6)
+                found["head"] = found["s"].str[:40]
+                kept = best(found)
+                yield pd.DataFrame({"q": [ids[i] for i in kept["q"]], "key": kept["key"], "pos": kept["pos"], "s": kept["s"], "hit": kept["hit"], "size": kept["size"]})
+
+    cut = docs.select(F.col(key).alias("key"), F.posexplode(F.transform(tx.sentences(F.col(text)), lambda s: F.trim(s))).alias("pos", "s")).filter((F.length("s") > least) & F.col("key").isNotNull())
     own = F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9$]+"), F.lit(0)))
-    each = cut.select(key, "pos", "s", F.size(own).alias("size"), F.explode(own).alias("w"))
-    shared = each.join(asked, "w").groupBy(qid, key, "pos", "s", "size").agg(F.count("*").alias("hit")).filter("hit >= 2")
-    scored = shared.select(qid, key, "pos", "s", F.round(F.col("hit") / F.pow("size", F.lit(0.4)), 6).alias("score"))
-    # the best sentence of each opening, by aggregation, so that many copies of one sentence make no large group
-    best = scored.groupBy(qid, F.substring("s", 1, 40).alias("_head")).agg(F.max_by(F.struct(key, "pos", "s", "score"), F.struct("score", -F.col(key), -F.col("pos"))).alias("b"))
-    order = Window.partitionBy(qid).orderBy(F.desc("b.score"), f"b.{key}", "b.pos")
-    ranked = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
-    return ranked.select(qid, "place", f"b.{key}", F.col("b.s").alias("sentence"), "b.score")
+    kinds = f"q {answers.schema[qid].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, pos int, s string, hit long, size long"
+    scored = cut.select("key", "pos", "s", own.alias("own")).mapInPandas(run, kinds).withColumn("score", F.round(F.col("hit") / F.pow("size", F.lit(0.4)), 6))
+    heads = scored.groupBy("q", F.substring("s", 1, 40).alias("_head")).agg(F.max_by(F.struct("key", "pos", "s", "score"), F.struct("score", -F.col("key"), -F.col("pos"))).alias("b"))
+    order = Window.partitionBy("q").orderBy(F.desc("b.score"), "b.key", "b.pos")
+    ranked = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    return ranked.select(F.col("q").alias(qid), "place", F.col("b.key").alias(key), F.col("b.s").alias("sentence"), "b.score")
 
 
 def audit_sample(judged: DataFrame, n: int) -> DataFrame:
     """`(qid, place)`: rows to read by hand: all that matter most first, then every so-manieth of the rest.
 
     First answers to questions that should be refused, then rejected answers, each by id and at most n together; then
-    every step-th of the supported rest with step = max(1, rest // still wanted).
+    every step-th of the supported rest with step = max(1, rest // still wanted). The ids that can be chosen, one short row
+    each, are written to the checkpoint folder, so that the judged rows are computed once.
     """
     ruled = judged.filter(F.col("verdict").isin("SUPPORTED", "UNSUPPORTED") & F.col("refusal").isNull())
     priority = F.when((F.col("expect") == "refuse") & (F.col("verdict") == "SUPPORTED"), 0).when(F.col("verdict") == "UNSUPPORTED", 1).otherwise(2)
-    placed = numbered(ruled.select(F.concat(priority.cast("string"), F.lit(":"), "qid").alias("_k"), "qid", priority.alias("_p")), "_k", "_n")
-    head = placed.agg(F.count_if(F.col("_p") < 2)).scalar()
-    rest = placed.agg(F.count_if(F.col("_p") == 2)).scalar()
+    slim = cut_lineage(ruled.select(F.concat(priority.cast("string"), F.lit(":"), "qid").alias("_k"), "qid", priority.alias("_p")))
+    placed = numbered(slim, "_k", "_n")
+    head = slim.agg(F.count_if(F.col("_p") < 2)).scalar()
+    rest = slim.agg(F.count_if(F.col("_p") == 2)).scalar()
     want = F.greatest(F.lit(0), F.lit(n) - head)
     step = F.greatest(F.lit(1), F.when(want > 0, F.floor(rest / want)).otherwise(1))
     nth = F.col("_n") - head - 1

@@ -39,19 +39,26 @@ def evaluation_rows(questions: DataFrame, ranked: DataFrame, docs: DataFrame, fl
     `hit` is 1 if a ranked record contains the key, `union` if the joined text of the ranked records does, `refused` if
     the best score is under the floor (for questions without any match: 0). `winner` is the source of the first record
     that contains the key. What does not apply to a question's label is null.
+
+    The ranking, a stated query set times k rows, is broadcast to the records. Only the ends of each text leave the task:
+    a key that stands in the joined text but in no record lies over an end of one.
     """
-    texts = docs.select("doc_id", "source", squash_alnum(F.coalesce("text", F.lit(""))).alias("_hay"))
-    joined = ranked.join(texts, "doc_id").join(F.broadcast(questions.select("qid", "key")), "qid")
+    few = F.broadcast(ranked.select("qid", "doc_id", "score", "rank"))
+    asked = F.broadcast(questions.select("qid", "key"))
+    joined = docs.select("doc_id", "source", "text").join(few, "doc_id").join(asked, "qid").withColumn("_hay", squash_alnum(F.coalesce("text", F.lit(""))))
     has = F.contains("_hay", "key")
-    per = joined.groupBy("qid").agg(
-        F.max(has.cast("int")).alias("hit"),
-        F.array_sort(F.collect_list(F.struct("rank", "_hay"))).alias("_texts"),
+    near = F.greatest(F.length("key") - 1, F.lit(0))
+    ends = F.when(F.length("_hay") <= 2 * near, F.col("_hay")).otherwise(F.concat(F.substring("_hay", F.lit(1), near), F.lit("|"), F.substring("_hay", F.length("_hay") - near + 1, near)))
+    slim = joined.select("qid", "source", "score", "rank", "key", has.alias("_has"), ends.alias("_ends"))
+    per = slim.groupBy("qid").agg(
+        F.max(F.col("_has").cast("int")).alias("hit"),
+        F.array_sort(F.collect_list(F.struct("rank", "_ends"))).alias("_texts"),
         F.max("score").alias("top_score"),
-        F.min_by("source", F.when(has, F.col("rank"))).alias("_winner"),
+        F.min_by("source", F.when(F.col("_has"), F.col("rank"))).alias("_winner"),
         F.first("key").alias("_key"),
     )
-    whole = F.concat_ws("", F.transform("_texts", lambda t: t["_hay"]))
-    per = per.select("qid", "hit", F.contains(whole, F.col("_key")).cast("int").alias("union"), "top_score", F.when(F.col("hit") == 1, F.col("_winner")).alias("winner"))
+    over = F.contains(F.concat_ws("", F.transform("_texts", lambda t: t["_ends"])), F.col("_key"))
+    per = per.select("qid", "hit", ((F.col("hit") == 1) | over).cast("int").alias("union"), "top_score", F.when(F.col("hit") == 1, F.col("_winner")).alias("winner"))
     rows = questions.join(per, "qid", "left")
     answerable, top = F.col("expect") == "answerable", F.coalesce("top_score", F.lit(0.0))
     hit = F.coalesce("hit", F.lit(0))
@@ -117,8 +124,11 @@ def weighted_hits(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def contexts(ranked: DataFrame, docs: DataFrame) -> DataFrame:
-    """`(qid, context)`: the ranked records as `[id] text`, in order of rank, joined by blank lines."""
-    joined = ranked.join(docs.select("doc_id", "text"), "doc_id")
+    """`(qid, context)`: the ranked records as `[id] text`, in order of rank, joined by blank lines.
+
+    The ranking, a stated query set times k rows, is broadcast, so that only the texts it names leave their task.
+    """
+    joined = docs.select("doc_id", "text").join(F.broadcast(ranked.select("qid", "doc_id", "rank")), "doc_id")
     part = F.struct("rank", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.coalesce("text", F.lit(""))).alias("part"))
     return joined.groupBy("qid").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"])).alias("context"))
 

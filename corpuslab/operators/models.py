@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import gate_of, refusal_kind, verdict_of
+from corpuslab.functions.text import gate_of, json_complies, label_complies, refusal_kind, refused, refused_cleanly, token_estimates, verdict_of
+from corpuslab.operators.runs import repeat_stats
 from corpuslab.session import cut_lineage
 
 REFUSAL_SENTENCE = "That is not covered in the club documents."
@@ -65,6 +68,89 @@ def call_model(rows: DataFrame, key: str, prompt: Column, client: ModelClient, m
     return cut_lineage(asked.mapInPandas(run, f"{key} {kind}, answer string, seconds double, tokens_in long, tokens_out long, ok boolean"))
 
 
+class Warm:
+    """A client that makes one call for each model before the first that counts, so that loading is in no one's seconds."""
+
+    def __init__(self, client: ModelClient) -> None:
+        self.client = client
+        self.warmed: set[str] = set()
+
+    def complete(self, model: str, prompt: str, temperature: float, seed: int) -> tuple[str, float, int, int]:
+        """The client's answer; errors of the first call are left for the one that counts."""
+        if model not in self.warmed:
+            self.warmed.add(model)
+            with contextlib.suppress(Exception):
+                self.client.complete(model, "hi", 0.0, seed)
+        return self.client.complete(model, prompt, temperature, seed)
+
+
+def run_cases(cases: DataFrame, client: ModelClient, models: tuple[str, ...], seed: int = 7) -> DataFrame:
+    """`(model, case_id, kind, ok, seconds, tok_s, answer)` of stated cases `(case_id, question, context, fact)`.
+
+    A case with a fact is grounded: the answer must contain it, whatever the case, and not refuse. A case without one must
+    be refused without naming an amount of money. An empty context is allowed. Models warm up before their first case.
+    """
+    each = []
+    for m in models:
+        prompt = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.coalesce("question", F.lit("")))
+        said = call_model(cases, "case_id", prompt, Warm(client), m, seed=F.lit(seed))
+        each.append(cases.select("case_id", "fact").join(said, "case_id").withColumn("model", F.lit(m)))
+    joined = reduce(DataFrame.unionByName, each)
+    must_refuse = F.col("fact").isNull()
+    held = F.contains(F.lower("answer"), F.lower("fact")) & ~refused(F.col("answer"))
+    rate = F.when(F.col("seconds") > 0, F.round(F.col("tokens_out") / F.col("seconds"), 1)).otherwise(0.0)
+    return joined.select("model", "case_id", F.when(must_refuse, "refusal").otherwise("grounded").alias("kind"), F.when(must_refuse, refused_cleanly(F.col("answer"))).otherwise(held).alias("ok"), F.round("seconds", 2).alias("seconds"), rate.alias("tok_s"), "answer")
+
+
+#: The three tasks and what their answers must look like.
+SENTIMENTS = ("positive", "neutral", "negative")
+EXTRACT_KEYS = ("topic", "action_required", "deadline")
+TASKS = {
+    "sentiment": "Classify the sentiment of a message. Reply with exactly one word: positive, neutral, or negative.",
+    "summarize": "Summarise this document in one sentence. Use only what the document says.",
+    "extract": "Return JSON only with exactly these keys: topic, action_required, deadline.",
+}
+
+
+def run_tasks(texts: dict[str, DataFrame], client: ModelClient, model: str) -> DataFrame:
+    """`(task, id, seconds, tokens_in, tokens_out, ok)` of the three tasks over `(id, text)` inputs for each.
+
+    An answer complies if it is one of the sentiments, any text that is no error, or an object with exactly the keys.
+    """
+    checks = {"sentiment": lambda a: label_complies(a, SENTIMENTS), "summarize": lambda a: (F.length(F.trim(a)) > 0) & ~F.startswith(a, F.lit("[")), "extract": lambda a: json_complies(a, EXTRACT_KEYS)}
+    out = []
+    for task, inputs in texts.items():
+        said = call_model(inputs, "id", F.concat(F.lit(TASKS[task] + "\n\n"), F.coalesce("text", F.lit(""))), client, model)
+        out.append(said.select(F.lit(task).alias("task"), "id", "seconds", "tokens_in", "tokens_out", checks[task](F.col("answer")).alias("ok")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def noise_floor(prompts: DataFrame, prompt: str, client: ModelClient, model: str, runs: int = 10, seed: int = 7) -> DataFrame:
+    """What changes between identical calls: the statistics of `runs` calls of every prompt at temperature 0 and one seed."""
+    calls = prompts.select(prompt, F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("call_id", F.md5(F.concat_ws("|", prompt, F.col("run").cast("string"))))
+    said = call_model(calls, "call_id", F.col(prompt), client, model, F.lit(0.0), F.lit(seed))
+    return repeat_stats(calls.join(said, "call_id"), [prompt], "answer")
+
+
+def temperature_identity(prompts: DataFrame, key: str, prompt: str, client: ModelClient, model: str) -> DataFrame:
+    """`(key, same, varied)`: whether two calls at temperature 0 agree, and whether one at 1 differs from them."""
+    runs = [call_model(prompts, key, F.col(prompt), client, model, F.lit(t)).select(key, F.col("answer").alias(n)) for n, t in (("a", 0.0), ("b", 0.0), ("c", 1.0))]
+    return runs[0].join(runs[1], key).join(runs[2], key).select(key, (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("varied"))
+
+
+def grounded_and_plain(questions: DataFrame, client: ModelClient, model: str) -> DataFrame:
+    """`(qid, plain, grounded, cost_plain, cost_grounded)` of `(qid, question, context)`: each question asked twice.
+
+    Costs are estimated tokens of the prompts; a null context says that no document matched.
+    """
+    shown = F.coalesce("context", F.lit("[no documents matched this question]"))
+    with_context = F.concat(F.lit("CLUB DOCUMENTS:\n"), shown, F.lit("\n\nQUESTION: "), "question")
+    plain = call_model(questions, "qid", F.col("question"), client, model).select("qid", F.col("answer").alias("plain"))
+    grounded = call_model(questions, "qid", with_context, client, model).select("qid", F.col("answer").alias("grounded"))
+    cost = {n: token_estimates(c)["by_words"].alias(n) for n, c in (("cost_plain", F.col("question")), ("cost_grounded", with_context))}
+    return questions.select("qid", *cost.values()).join(plain, "qid").join(grounded, "qid").select("qid", "plain", "grounded", "cost_plain", "cost_grounded")
+
+
 def stamp(df: DataFrame, **config: object) -> DataFrame:
     """Rows with the configuration of their run as a struct column."""
     return df.withColumn("config", F.struct(*[F.lit(v).alias(k) for k, v in config.items()]))

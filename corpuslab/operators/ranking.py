@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -97,20 +99,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_block: int = 2000, chunk: int = 50_000, digits: int = 5) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_block: int = 2000, chunk: int = 50_000, digits: int = 5, sizes: tuple[int, int] | None = None, scope: str | None = None) -> DataFrame:
     """`(qid, key, score, rank)`: the exact k nearest vectors of every query by cosine, itself left out.
 
     A block nested loop: vectors in chunks and queries in blocks meet in one task per (block, chunk), are multiplied
     there as matrices and only the k best of each chunk leave it, so that neither side is ever broadcast or collected.
-    Ties go to the higher key. Null vectors and keys are left out; zero vectors have cosine 0 with everything.
+    Ties go to the higher key. Null vectors and keys are left out; zero vectors have cosine 0 with everything. `sizes`
+    are about how many vectors and queries there are, to be given where counting them would compute them. With `scope`, a
+    column of both, a query that names a scope meets only vectors of it, and one with a null scope meets all.
     """
-    size, n = vectors.count(), queries.count()
+    size, n = sizes or (vectors.count(), queries.count())
     chunks, blocks = max(1, -(-size // chunk)), max(1, -(-n // query_block))
     kind = vectors.schema[key].dataType.simpleString()
     all_blocks, all_chunks = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (blocks, chunks))
 
     def usable(df: DataFrame, own: str, parts: int, other: str, all_other: Column) -> DataFrame:
-        kept = df.select(F.col(key).alias("_key"), unit(F.col(vector)).alias("_vec")).filter("_key is not null and _vec is not null")
+        named = (F.col(scope) if scope else F.lit(None)).cast("string").alias("_scope")
+        kept = df.select(F.col(key).alias("_key"), unit(F.col(vector)).alias("_vec"), named).filter("_key is not null and _vec is not null")
         return kept.withColumn(own, F.pmod(F.xxhash64("_key"), F.lit(parts))).withColumn(other, all_other)
 
     left = usable(vectors, "_chunk", chunks, "_block", all_blocks)
@@ -124,6 +129,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
         keys, asked = a["_key"].to_numpy(), b["_key"].to_numpy()
         scores = np.round(np.stack(b["_vec"].to_list()) @ np.stack(a["_vec"].to_list()).T, digits)
         scores[asked[:, None] == keys[None, :]] = -np.inf
+        if scope:
+            wanted, held = b["_scope"].to_numpy(object), a["_scope"].to_numpy(object)
+            scores[np.array([x is not None for x in wanted])[:, None] & (wanted[:, None] != held[None, :])] = -np.inf
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"qid": np.repeat(asked, order.shape[1]), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
         return out[np.isfinite(out["score"])]
@@ -132,18 +140,61 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     return top_k(near, k, key=key, lower_first=False, digits=digits)
 
 
-def hashed_embedding(docs: DataFrame, key: str, text: str, size: int = 64, tokenizer: str = "rank") -> DataFrame:
-    """`(key, embedding)`: a deterministic stand-in for an embedding model, a hashed bag of terms of length 1.
+class Embedder(Protocol):
+    """Anything that makes vectors of texts, a batch at a time; errors are raised."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """One vector for each text."""
+        ...
+
+
+class HashedEmbedder:
+    """A deterministic stand-in for an embedding model, a hashed bag of terms of length 1; it says nothing of any model's quality."""
+
+    def __init__(self, size: int = 64) -> None:
+        self.size = size
+        self.slots: dict[str, int] = {}
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """Counts of the terms' slots, the terms being divided by spaces; the zero vector for a text without any."""
+        out = np.zeros((len(texts), self.size))
+        for row, text in zip(out, texts, strict=True):
+            for term in text.split():
+                slot = self.slots.get(term)
+                if slot is None:
+                    slot = int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % self.size
+                    if len(self.slots) < 1_000_000:
+                        self.slots[term] = slot
+                row[slot] += 1
+        return (out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)).tolist()
+
 
-    It says nothing of any model's quality; it makes the vector paths run without one. Empty texts have a zero vector.
+def embedded(docs: DataFrame, key: str, text: Column, client: Embedder, fallback: Embedder | None = None, batch: int = 32) -> DataFrame:
+    """`(key, embedding)` of every row in one narrow pass, by a client that is given `batch` texts at a time.
+
+    Where the client fails on a batch the fallback is asked once; if that fails too or there is none, the error ends the
+    task. Null texts are the empty text.
     """
-    slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long"), F.lit(size)).cast("int")
-    counts = token_relation(docs, key, text, tokenizer).groupBy(key, slot.alias("slot")).agg(F.count("*").alias("c"))
-    filled = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("c").cast("double")))).alias("m"))
-    places = F.sequence(F.lit(0), F.lit(size - 1))
-    vector = unit(F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))))
-    zero = F.array_repeat(F.lit(0.0), size)
-    return docs.select(key).join(filled.select(key, vector.alias("embedding")), key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for a in range(0, len(frame), batch):
+                part = frame.iloc[a : a + batch]
+                try:
+                    vectors = client.embed(part["_text"].tolist())
+                except Exception:
+                    if fallback is None:
+                        raise
+                    vectors = fallback.embed(part["_text"].tolist())
+                yield pd.DataFrame({key: part[key], "embedding": vectors})
+
+    return docs.select(key, F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+
+
+def hashed_embedding(docs: DataFrame, key: str, text: str, size: int = 64, tokenizer: str = "rank") -> DataFrame:
+    """`(key, embedding)` by the stand-in embedder, which makes the vector paths run without a model."""
+    return embedded(docs, key, F.concat_ws(" ", tokens(F.col(text), tokenizer)), HashedEmbedder(size), batch=1000)
 
 
 def cached_embeddings(docs: DataFrame, key: str, text: str, cache: DataFrame | None, model: str, embed=hashed_embedding) -> DataFrame:
@@ -185,13 +236,15 @@ def containment_pairs(docs: DataFrame, keys: DataFrame, hay: str, needle: str, g
 
     Any occurrence of a key of at least 2 * gram - 1 characters covers a whole gram of the text that starts at a multiple
     of `gram`. Texts give only those grams, keys all of theirs, and each match is verified. Shorter keys are compared
-    directly; `keys` is a stated query set. Both inputs keep their columns.
+    directly; `keys` is a stated query set. Both inputs keep their columns but for the compared texts themselves, which
+    do not leave their task.
     """
+    kept = [c for c in (*docs.columns, *keys.columns) if c not in (hay, needle)]
     places = F.sequence(F.lit(1), F.greatest(F.length(hay) - gram + 1, F.lit(1)), F.lit(gram))
     text_grams = docs.withColumn("_g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(hay), i, F.lit(gram))))))
     shifts = F.sequence(F.lit(1), F.length(needle) - gram + 1)
     long = keys.filter(F.length(needle) >= 2 * gram - 1)
     key_grams = long.withColumn("_g", F.explode(F.array_distinct(F.transform(shifts, lambda i: F.substring(F.col(needle), i, F.lit(gram))))))
-    found = text_grams.join(F.broadcast(key_grams), "_g").filter(F.contains(F.col(hay), F.col(needle))).drop("_g").distinct()
+    found = text_grams.join(F.broadcast(key_grams), "_g").filter(F.contains(F.col(hay), F.col(needle))).select(*kept).distinct()
     short = keys.filter((F.length(needle) < 2 * gram - 1) & (F.length(needle) > 0))
-    return found.unionByName(docs.join(F.broadcast(short), F.contains(F.col(hay), F.col(needle))).select(*found.columns))
+    return found.unionByName(docs.join(F.broadcast(short), F.contains(F.col(hay), F.col(needle))).select(*kept))

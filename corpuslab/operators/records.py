@@ -94,6 +94,12 @@ def apply_decisions(questions: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("key", F.when(F.col("d.action") == "fix", F.col("d.new_key")).otherwise(F.col("key"))).drop("d")
 
 
+def without_last(df: DataFrame, order: str, n: int) -> DataFrame:
+    """All rows but the last n by a unique, non-null order; none if there are no more than n. Only those n are gathered."""
+    last = df.select(order).orderBy(F.desc(order)).limit(n)
+    return df.join(F.broadcast(last), order, "left_anti")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows chosen by a hash of their key and the seed: repeatable, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows chosen by a digest of their key and the seed: repeatable, whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

@@ -14,6 +14,8 @@ from corpuslab.functions.text import secret_flags, squash_alnum, tokens
 MIN_CHARS = 40
 #: A reference with fewer squashed characters is taken for a mistake.
 MIN_REFERENCE = 10_000
+#: A reference with more characters is not broadcast (its grams take about 20 bytes a character).
+MOST_REFERENCE = 20_000_000
 
 
 def word_windows(docs: DataFrame, key: str, text: str, words: int = 8, chars: int = MIN_CHARS) -> DataFrame:
@@ -26,65 +28,86 @@ def word_windows(docs: DataFrame, key: str, text: str, words: int = 8, chars: in
 
 
 def reference_grams(reference: DataFrame, ref_id: str, text: str, chars: int = MIN_CHARS) -> DataFrame:
-    """`(ref_id, ref, gram)`: every run of `chars` squashed characters of each reference text."""
-    flat = reference.select(ref_id, squash_alnum(F.col(text)).alias("ref")).filter(F.length("ref") >= chars)
-    places = F.sequence(F.lit(1), F.length("ref") - chars + 1)
-    return flat.select(ref_id, "ref", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("ref"), i, F.lit(chars))))).alias("gram"))
+    """`(gram, ref_id, at)`: every run of `chars` squashed characters of each reference text, as a 64-bit hash, and where it starts."""
+    flat = reference.select(ref_id, squash_alnum(F.col(text)).alias("_ref")).filter(F.length("_ref") >= chars)
+    each = flat.select(ref_id, "_ref", F.explode(F.sequence(F.lit(1), F.length("_ref") - chars + 1)).alias("at"))
+    return each.select(F.xxhash64(F.substring("_ref", F.col("at"), F.lit(chars))).alias("gram"), ref_id, "at")
 
 
-def window_hits(docs: DataFrame, reference: DataFrame, key: str, text: str, ref_id: str, ref_text: str, words: int = 8) -> DataFrame:
-    """`(key, start, ref_id)`: windows of the documents that stand in a reference text.
+def _reference_size(reference: DataFrame, text: str) -> int:
+    return reference.agg(F.sum(F.length(text))).first()[0] or 0
+
+
+def window_places(docs: DataFrame, reference: DataFrame, key: str, text: str, ref_id: str, ref_text: str, words: int = 8) -> DataFrame:
+    """`(key, start, ref_id, at)`: windows of the documents and the places in the reference texts where they stand.
 
     An exact rewriting of the containment join: a hit has at least `MIN_CHARS` squashed characters, so its first
-    `MIN_CHARS` are a gram of the reference; the equi join on grams is verified on the whole window. The reference is the
-    fixed set of texts to be protected and is broadcast; the documents never move.
+    `MIN_CHARS` are a gram of the reference; the equi join on hashed grams is verified on the whole window against the
+    reference's one row. The size of the reference is checked: up to `MOST_REFERENCE` characters its grams and texts are
+    broadcast and the documents never move; a larger one is joined by shuffle.
     """
-    grams = F.broadcast(reference_grams(reference, ref_id, ref_text))
-    each = word_windows(docs, key, text, words).withColumn("gram", F.substring("window", 1, MIN_CHARS))
-    return each.join(grams, "gram").filter(F.contains(F.col("ref"), F.col("window"))).select(key, "start", ref_id).distinct()
+    small = _reference_size(reference, ref_text) <= MOST_REFERENCE
+    near = F.broadcast if small else (lambda df: df)
+    grams = near(reference_grams(reference, ref_id, ref_text))
+    whole = near(reference.select(F.col(ref_id).alias("_id"), squash_alnum(F.col(ref_text)).alias("_ref")))
+    each = word_windows(docs, key, text, words).withColumn("gram", F.xxhash64(F.substring("window", 1, MIN_CHARS)))
+    found = each.join(grams, "gram").join(whole, F.col(ref_id) == F.col("_id"))
+    stands = F.substring("_ref", F.col("at"), F.length("window")) == F.col("window")
+    return found.filter(stands).select(key, "start", ref_id, "at")
 
 
-def greedy_runs(docs: DataFrame, reference: DataFrame, key: str, text: str, ref_text: str, words: int = 8) -> DataFrame:
+def window_hits(docs: DataFrame, reference: DataFrame, key: str, text: str, ref_id: str, ref_text: str, words: int = 8) -> DataFrame:
+    """`(key, start, ref_id)`: windows of the documents that stand in a reference text."""
+    return window_places(docs, reference, key, text, ref_id, ref_text, words).drop("at").distinct()
+
+
+def greedy_runs(docs: DataFrame, reference: DataFrame, key: str, text: str, ref_id: str, ref_text: str, words: int = 8) -> DataFrame:
     """`(key, start, stop, run)`: the maximal, non-overlapping verbatim runs, found from left to right.
 
-    The reference texts, a fixed set, are joined to one squashed string; raises if that is too small to be a reference.
-    The walk is sequential within a text, so it runs in Python, on the texts with at least one window hit only.
+    A run stands within one reference text. Raises if the reference is too small to be one. The places of all windows are
+    joined first, so that only texts with a hit are walked and only what follows a known place is compared, word by word;
+    the walk is sequential within a text and runs in Python. The reference texts go to the tasks, so their size is checked.
     """
     import re
 
-    ref = "".join(r[0] or "" for r in reference.select(squash_alnum(F.col(ref_text))).orderBy(1).collect())
-    if len(ref) < MIN_REFERENCE:
-        raise ValueError(f"the reference has only {len(ref)} characters")
+    rows = reference.select(ref_id, squash_alnum(F.col(ref_text)).alias("ref")).filter(f"{ref_id} is not null and ref is not null")
+    size = _reference_size(reference, ref_text)
+    if size > MOST_REFERENCE:
+        raise ValueError(f"the reference has {size} characters; walk it in parts of at most {MOST_REFERENCE}")
+    refs = {r[0]: r[1] for r in rows.collect()}
+    if sum(map(len, refs.values())) < MIN_REFERENCE:
+        raise ValueError(f"the reference has only {sum(map(len, refs.values()))} characters")
     word = re.compile(r"[A-Za-z0-9$][A-Za-z0-9$'/.-]*")
     drop = re.compile(r"[^a-z0-9]+")
-    blocks = {ref[i : i + MIN_CHARS] for i in range(len(ref) - MIN_CHARS + 1)}
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, start int, stop int, run string"
 
-    def flat(ws: list[str]) -> str:
-        return drop.sub("", " ".join(ws).lower())
-
-    def runs(ws: list[str]) -> Iterator[tuple[int, int]]:
-        i = 0
-        while i + words <= len(ws):
-            window = flat(ws[i : i + words])
-            if len(window) >= MIN_CHARS and window[:MIN_CHARS] in blocks and window in ref:
-                stop = i + words
-                while stop < len(ws) and flat(ws[i : stop + 1]) in ref:
-                    stop += 1
-                yield i, stop
-                i = stop
-            else:
-                i += 1
+    def stops(flat: list[str], first: int, ref: str, at: int) -> int:
+        """How far the words from `first` on go on standing in the reference from a place."""
+        i = first
+        while i < len(flat) and ref.startswith(flat[i], at):
+            at += len(flat[i])
+            i += 1
+        return i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, t in batch[[key, text]].itertuples(index=False):
+            out = []
+            for k, t, places in zip(batch[key], batch[text], batch["_places"], strict=True):
                 ws = word.findall(t)
-                rows += [(k, a, b, " ".join(ws[a:b])) for a, b in runs(ws)]
-            yield pd.DataFrame(rows, columns=[key, "start", "stop", "run"])
-
-    return docs.select(key, text).filter(F.col(text).isNotNull()).mapInPandas(run, schema)
+                flat = [drop.sub("", w.lower()) for w in ws]
+                known: dict[int, list[tuple]] = {}
+                for p in places:
+                    known.setdefault(p["start"], []).append((p["ref"], p["at"] - 1))
+                done = 0
+                for start in sorted(known):
+                    if start >= done:
+                        done = max(stops(flat, start, refs[r], at) for r, at in known[start])
+                        out.append((k, start, done, " ".join(ws[start:done])))
+            yield pd.DataFrame(out, columns=[key, "start", "stop", "run"])
+
+    found = window_places(docs.select(key, text), reference, key, text, ref_id, ref_text, words)
+    grouped = found.groupBy(key).agg(F.collect_set(F.struct("start", F.col(ref_id).alias("ref"), "at")).alias("_places"))
+    return docs.select(key, text).join(grouped, key).mapInPandas(run, schema)
 
 
 def secret_scan(docs: DataFrame, key: str, text: str) -> DataFrame:

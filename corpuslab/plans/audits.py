@@ -29,15 +29,14 @@ KEYS = ["orange flag", "the", "£38", "two spare oars", "no such phrase", "ab",
 RULES = {"environment": r"(^|/)\.env$", "handbook": r"^club-\d+", "notes": r"notes_\d+\.txt$"}
 
 
-def _answers(spark: SparkSession, root: str, step: int) -> DataFrame:
+def answers(spark: SparkSession, root: str, step: int) -> DataFrame:
     """`(qid, question, answer, context, expect, retrieved)` of every pair, judged against its record or that of the step-th next, if any."""
     faq = table(spark, root, "faq_export").select("faq_id", "question", "answer").distinct()
     other = F.concat(F.lit("faq-F"), F.lpad((F.substring("faq_id", 2, 20).cast("long") + step).cast("string"), 7, "0"))
     texts = current_rows(table(spark, root, "records"), F.col("doc_id"), ["text"]).select(F.col("key").alias("_d"), F.col("text").alias("context"))
     expect = F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) >= 20, "answerable").otherwise("refuse")
     joined = faq.withColumn("_d", other).join(texts, "_d", "left").drop("_d")
-    key = F.substring(tx.squash(F.coalesce("answer", F.lit(""))), 1, 20)
-    retrieved = F.contains(tx.squash(F.coalesce("context", F.lit(""))), key).cast("int")
+    retrieved = F.contains(tx.squash(F.coalesce("context", F.lit(""))), tx.squash(F.coalesce("answer", F.lit("")))).cast("int")
     return joined.select(F.col("faq_id").alias("qid"), "question", "answer", "context", expect.alias("expect"), retrieved.alias("retrieved"))
 
 
@@ -52,22 +51,22 @@ def _idf(spark: SparkSession, root: str) -> DataFrame:
 
 def grounding(spark: SparkSession, root: str) -> DataFrame:
     """Grounding of every answer in the record of the next pair."""
-    return _answers(spark, root, 1).select("qid", F.round(guards.grounding(F.col("answer"), F.col("context")), 6).alias("grounding"))
+    return answers(spark, root, 1).select("qid", F.round(guards.grounding(F.col("answer"), F.col("context")), 6).alias("grounding"))
 
 
 def bad_numbers(spark: SparkSession, root: str) -> DataFrame:
     """Numbers of answers that the context lacks."""
-    return _answers(spark, root, 1).select("qid", F.array_join(guards.bad_numbers(F.col("answer"), F.col("context")), ",").alias("numbers"))
+    return answers(spark, root, 1).select("qid", F.array_join(guards.bad_numbers(F.col("answer"), F.col("context")), ",").alias("numbers"))
 
 
 def best_sentence(spark: SparkSession, root: str) -> DataFrame:
     """The sentence of the context an answer leans on."""
-    return _answers(spark, root, 1).select("qid", guards.best_sentence(F.col("answer"), F.col("context")).alias("quote"))
+    return answers(spark, root, 1).select("qid", guards.best_sentence(F.col("answer"), F.col("context")).alias("quote"))
 
 
 def _guarded(spark: SparkSession, root: str, step: int) -> DataFrame:
     total = table(spark, root, "faq_export").count() * 6
-    return guards.guarded(_answers(spark, root, step), _idf(spark, root), "qid", total)
+    return guards.guarded(answers(spark, root, step), _idf(spark, root), "qid", total)
 
 
 def relevance(spark: SparkSession, root: str) -> DataFrame:
@@ -154,7 +153,7 @@ def claim_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def claim_snippets(spark: SparkSession, root: str) -> DataFrame:
     """Text around the mentions of claims in documents."""
-    return auditing.claim_snippets(table(spark, root, "documents"), "doc_id", "text").select("doc_id", "claim", F.col("start").cast("long").alias("start"), F.length("snippet").cast("long").alias("chars"))
+    return auditing.claim_snippets(table(spark, root, "documents"), "doc_id", "text").select("doc_id", "claim", F.col("start").cast("long").alias("start"), F.md5("snippet").alias("snippet"))
 
 
 def key_report(spark: SparkSession, root: str) -> DataFrame:
@@ -187,14 +186,17 @@ def leak_by_doc(spark: SparkSession, root: str) -> DataFrame:
 
 def leak_greedy_runs(spark: SparkSession, root: str) -> DataFrame:
     """Maximal verbatim runs."""
-    return verbatim.greedy_runs(table(spark, root, "documents"), table(spark, root, "eval_items"), "doc_id", "text", "text")
+    return verbatim.greedy_runs(table(spark, root, "documents"), table(spark, root, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def secret_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Secrets in texts (of customers here, with made-up contacts appended)."""
+    """Secrets in the texts of all documents, records and answers, and in notes of customers with made-up contacts."""
     k = F.col("c_custkey")
     note = F.when(k % 5 == 0, F.concat(F.lit("mail c"), k.cast("string"), F.lit("@example.org"))).when(k % 7 == 0, F.concat(F.lit("call (555) 010-"), F.lpad((k % 10000).cast("string"), 4, "0"))).when(k % 11 == 0, F.concat(F.lit("sk-"), F.md5(k.cast("string")))).otherwise(F.col("c_name"))
-    return verbatim.secret_scan(table(spark, root, "customer").select("c_custkey", note.alias("note")), "c_custkey", "note")
+    texts = table(spark, root, "customer").select(F.concat(F.lit("customer-"), k.cast("string")).alias("id"), note.alias("text"))
+    for name, key, column in (("documents", "doc_id", "text"), ("records", "doc_id", "text"), ("faq_export", "faq_id", "answer")):
+        texts = texts.unionByName(table(spark, root, name).select(F.concat(F.lit(f"{name}-"), F.col(key).cast("string")).alias("id"), F.col(column).alias("text")))
+    return verbatim.secret_scan(texts, "id", "text")
 
 
 def denied_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -246,7 +248,7 @@ def stub_sweep(spark: SparkSession, root: str) -> DataFrame:
 
 def judge_pipeline_stub(spark: SparkSession, root: str) -> DataFrame:
     """Gate, answer and judge over the stand-in client."""
-    asked = _answers(spark, root, 1).select("qid", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("context", F.lit("")).alias("context"))
+    asked = answers(spark, root, 1).select("qid", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("context", F.lit("")).alias("context"))
     return models.judge_pipeline(asked, models.StubClient(), "answerer", "judge", "gate")
 
 
@@ -300,7 +302,7 @@ def _sentences(c: str) -> str:
 
 def _answers_sql(step: int, name: str) -> str:
     return f"""{name} AS (SELECT f.faq_id AS qid, question, answer, t.text AS context, CASE WHEN length(trim(coalesce(answer, ''))) >= 20 THEN 'answerable' ELSE 'refuse' END AS expect,
-  contains({_squash("coalesce(t.text, '')")}, substr({_squash("coalesce(answer, '')")}, 1, 20))::INT AS retrieved
+  contains({_squash("coalesce(t.text, '')")}, {_squash("coalesce(answer, '')")})::INT AS retrieved
   FROM (SELECT DISTINCT faq_id, question, answer FROM faq_export) f LEFT JOIN cur t ON t.doc_id = 'faq-F' || lpad((substr(faq_id, 2)::BIGINT + {step})::VARCHAR, 7, '0'))"""
 
 
@@ -407,7 +409,7 @@ SELECT claim, topic, sum(n)::BIGINT AS n, arg_max(term, n * 100 - place) AS best
 p AS (SELECT doc_id, claim, term, t, string_split(lower(t), term) AS l FROM d JOIN c ON contains(lower(t), term)),
 e AS (SELECT doc_id, claim, t, length(term) AS n, unnest(list_transform(range(1, len(l)), lambda i: list_sum(list_transform(l[1:i], lambda x: length(x) + length(term))) - length(term))) AS start FROM p),
 s AS (SELECT doc_id, claim, start, substr(t, (greatest(0, start - 230) + 1)::BIGINT, (start + n + 230 - greatest(0, start - 230))::BIGINT) AS s FROM e)
-SELECT doc_id, claim, min(start)::BIGINT AS start, length(arg_min(s, start)) AS chars FROM s WHERE NOT regexp_matches(s, '\\.{{6,}}') GROUP BY doc_id, claim, substr(s, 1, 50)""",
+SELECT doc_id, claim, min(start)::BIGINT AS start, md5(arg_min(s, start)) AS snippet FROM s WHERE NOT regexp_matches(s, '\\.{{6,}}') GROUP BY doc_id, claim, substr(s, 1, 50)""",
     "key_report": "SELECT key, hits, CASE WHEN hits = 0 THEN 'MISSING' WHEN len(string_split(key, ' ')) < 2 AND length(key) < 6 AND NOT regexp_matches(key, '[0-9$£€]') THEN 'too vague' WHEN hits > 15 THEN 'too common' ELSE 'ok' END AS verdict FROM ("
     + " UNION ALL ".join(f"SELECT '{k}' AS key, sum((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{k.lower()}', ''))) // {len(k)})::BIGINT AS hits FROM records" for k in KEYS)
     + ")",
@@ -422,10 +424,11 @@ SELECT category, coalesce(n, 0) AS n, coalesce(refuse, 0)::BIGINT AS refuse, NUL
 UNION ALL SELECT 'total', count(*), count_if(expect = 'refuse')::BIGINT, count(*) >= 25 AND count_if(expect = 'refuse') >= 5 FROM questions_public""",
     "leak_window_hits": _WINDOWS + "SELECT doc_id, start, item_id FROM hits",
     "leak_by_doc": _WINDOWS + "SELECT doc_id, count(*) AS hits, count(DISTINCT item_id) AS items FROM hits GROUP BY 1",
-    "secret_scan": r"""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'mail c' || c_custkey || '@example.org' WHEN c_custkey % 7 = 0 THEN 'call (555) 010-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')
-  WHEN c_custkey % 11 = 0 THEN 'sk-' || md5(c_custkey::VARCHAR) ELSE c_name END AS note FROM customer),
-f AS (SELECT c_custkey, regexp_matches(note, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.(com|org|net|edu|io)') AS email, regexp_matches(note, '\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}') AS phone,
-  regexp_matches(note, '-----BEGIN [A-Z ]*PRIVATE KEY') AS private_key, regexp_matches(note, '(sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})') AS token FROM n)
+    "secret_scan": r"""WITH n AS (SELECT 'customer-' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'mail c' || c_custkey || '@example.org' WHEN c_custkey % 7 = 0 THEN 'call (555) 010-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')
+  WHEN c_custkey % 11 = 0 THEN 'sk-' || md5(c_custkey::VARCHAR) ELSE c_name END AS note FROM customer
+  UNION ALL SELECT 'documents-' || doc_id, text FROM documents UNION ALL SELECT 'records-' || doc_id, text FROM records UNION ALL SELECT 'faq_export-' || faq_id, answer FROM faq_export),
+f AS (SELECT id, coalesce(regexp_matches(note, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.(com|org|net|edu|io)'), false) AS email, coalesce(regexp_matches(note, '\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}'), false) AS phone,
+  coalesce(regexp_matches(note, '-----BEGIN [A-Z ]*PRIVATE KEY'), false) AS private_key, coalesce(regexp_matches(note, '(sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})'), false) AS token FROM n)
 SELECT * FROM f WHERE email OR phone OR private_key OR token""",
     "denied_paths": "SELECT source_file, rule FROM (SELECT DISTINCT source_file FROM records) JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, '{p}' AS pat" for n, p in RULES.items()) + ") ON regexp_matches(source_file, pat)",
     "chat_trim": """WITH m AS (SELECT l_orderkey AS conv_id, (l_linenumber - 1)::BIGINT AS turn, sum(floor(l_extendedprice::DOUBLE / 100)::BIGINT)::BIGINT AS tokens FROM lineitem GROUP BY ALL),
@@ -440,5 +443,6 @@ SELECT event_type, calls, median_s, p95_s, tokens_in, tokens_out, CASE WHEN tota
     "model_scorecard": """WITH e AS (SELECT event_type AS model, event_id % 3 = 0 AS r, user_id % 4 <> 0 AS ok, value AS s, user_id % 9 AS t FROM events)
 SELECT model, count_if(NOT r AND ok) || '/' || count_if(NOT r) AS grounded, count_if(r AND ok) || '/' || count_if(r) AS refusal, round(median(s), 2) AS median_s, round(median(t) FILTER (t > 0), 1) AS tok_s FROM e GROUP BY 1""",
     "label_compliance": "SELECT event_type, (CASE WHEN lower(event_type) IN ('click', 'view') THEN count(*) ELSE 0 END)::BIGINT AS ok, count(*) AS n FROM events GROUP BY 1",
+    "sampled_records": "SELECT DISTINCT doc_id FROM (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM records) ORDER BY md5(doc_id || '|7'), doc_id LIMIT 40)",
     "repeat_pairs": "SELECT question, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM faq_export GROUP BY 1",
 }

@@ -129,8 +129,8 @@ def unmatched_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, root: str) -> DataFrame:
-    """Customers without any order."""
-    orders = table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without any urgent order."""
+    orders = table(spark, root, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return costs.unmatched(table(spark, root, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
@@ -232,7 +232,7 @@ FROM (SELECT topic, length(coalesce(text, '')) AS n FROM records) GROUP BY 1""",
 SELECT kind, sum(n)::BIGINT AS total, round(avg(n), 2) AS mean, min(n) AS least, max(n) AS most, round(sum(n)::DOUBLE / (SELECT sum(word) FROM c), 3) AS to_words FROM u GROUP BY kind""",
     "length_histogram": "SELECT (length(text) // 100 * 100)::BIGINT AS bin, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "unmatched_metadata": f"SELECT {_norm('doc_id')} AS key, row_id FROM metadata m WHERE {_norm('doc_id')} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM token_counts t WHERE {_norm('t.doc_id')} = {_norm('m.doc_id')})",
-    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "order_join_check": "SELECT count(*) AS rows_after, (SELECT count(*) FROM orders) AS rows_before, count(*) = (SELECT count(*) FROM orders) AS rows_match FROM orders JOIN customer ON o_custkey = c_custkey",
     "region_revenue_share": """WITH p AS (SELECT r_name, sum(o_totalprice::DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1)
 SELECT r_name, round(v, 0) AS value, round(v * 100 / (SELECT sum(v) FROM p), 1) AS share FROM p""",

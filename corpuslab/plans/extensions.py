@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import keys, models, ranking, runs
-from corpuslab.session import ensure_checkpoint_dir
+from corpuslab.plans.retrieval import RANK_SQL
+from corpuslab.session import cut_lineage, ensure_checkpoint_dir
 from corpuslab.sources.tables import table
 from corpuslab.streaming import questions as st
 
@@ -56,9 +57,9 @@ def similarity_ratio(spark: SparkSession, root: str) -> DataFrame:
 def embedding_cache(spark: SparkSession, root: str) -> DataFrame:
     """Vectors of all distinct texts, those of half of them from a cache."""
     docs = table(spark, root, "documents").select("doc_id", "text")
-    cache = ranking.cached_embeddings(docs.filter("doc_id % 2 = 0"), "doc_id", "text", None, "stub")
+    cache = cut_lineage(ranking.cached_embeddings(docs.filter("doc_id % 2 = 0"), "doc_id", "text", None, "stub"))
     made = ranking.cached_embeddings(docs, "doc_id", "text", cache, "stub")
-    return made.select("text_hash", F.size("embedding").alias("size"))
+    return made.select("text_hash", F.array_join(F.transform("embedding", lambda x: F.round(x, 5).cast("decimal(7,5)").cast("string")), ",").alias("vector"))
 
 
 def model_comparison(spark: SparkSession, root: str) -> DataFrame:
@@ -72,5 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "embedding_cache": f"""WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), w AS (SELECT text, unnest({RANK_SQL.format('text')}) AS term FROM t),
+s AS (SELECT text, ('0x' || substr(md5(term), 1, 6))::BIGINT % 64 AS slot, count(*)::DOUBLE AS c FROM w GROUP BY ALL), n AS (SELECT text, sqrt(sum(c * c)) AS norm FROM s GROUP BY text),
+v AS (SELECT t.text, i, coalesce(c / norm, 0) AS x FROM t CROSS JOIN range(0, 64) r(i) LEFT JOIN s ON s.text = t.text AND slot = i LEFT JOIN n ON n.text = t.text)
+SELECT sha256(text) AS text_hash, string_agg(round(x, 5)::DECIMAL(7, 5)::VARCHAR, ',' ORDER BY i) AS vector FROM v GROUP BY text""",
+    "event_window_stream": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "append_questions_stream": "SELECT qid, any_value(category) AS category, any_value(expect) AS expect FROM questions_public GROUP BY qid",
 }

@@ -19,43 +19,43 @@ from corpuslab.sources.tables import table
 K = 5
 
 
-def _docs(spark: SparkSession, root: str) -> DataFrame:
+def docs_of(spark: SparkSession, root: str) -> DataFrame:
     """Documents as they are ranked, counted and shown: title and text as one; null only if both are."""
     whole = F.when(F.coalesce("title", "text").isNotNull(), F.concat_ws(" ", "title", "text"))
     return table(spark, root, "documents").select("doc_id", whole.alias("text"), F.lower(F.trim("source")).alias("source"))
 
 
-def _questions(spark: SparkSession, root: str) -> DataFrame:
-    return ev.planted_questions(table(spark, root, "eval_items"), _docs(spark, root))
+def questions_of(spark: SparkSession, root: str) -> DataFrame:
+    return ev.planted_questions(table(spark, root, "eval_items"), docs_of(spark, root))
 
 
 def _plain(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def _index(spark: SparkSession, root: str) -> rk.TermIndex:
-    return rk.TermIndex(_docs(spark, root), _plain(spark, root))
+def index_of(spark: SparkSession, root: str) -> rk.TermIndex:
+    return rk.TermIndex(docs_of(spark, root), _plain(spark, root))
 
 
 def _bm25(spark: SparkSession, root: str, k: int = K) -> DataFrame:
-    index = _index(spark, root)
+    index = index_of(spark, root)
     return rk.top_k(index.padded(index.bm25(), k), k)
 
 
 def tokens_rank(spark: SparkSession, root: str) -> DataFrame:
     """Ranking tokens of every document, counted and listed."""
     t = tokens(F.col("text"), "rank")
-    return _docs(spark, root).select("doc_id", F.size(t).cast("long").alias("n"), F.concat_ws(" ", t).alias("terms")).filter("n >= 0")
+    return docs_of(spark, root).select("doc_id", F.size(t).cast("long").alias("n"), F.concat_ws(" ", t).alias("terms")).filter("n >= 0")
 
 
 def doc_len(spark: SparkSession, root: str) -> DataFrame:
     """Length of every document in ranking tokens."""
-    return rk.doc_lengths(_docs(spark, root), "doc_id", "text")
+    return rk.doc_lengths(docs_of(spark, root), "doc_id", "text")
 
 
 def term_df(spark: SparkSession, root: str) -> DataFrame:
     """Document and collection frequency of every term."""
-    tf = rk.term_frequencies(_docs(spark, root), "doc_id", "text")
+    tf = rk.term_frequencies(docs_of(spark, root), "doc_id", "text")
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))
 
 
@@ -66,24 +66,24 @@ def bm25_top5(spark: SparkSession, root: str) -> DataFrame:
 
 def tfidf_saturated_top3(spark: SparkSession, root: str) -> DataFrame:
     """The three best documents by saturated TF-IDF; no score, no place; ties to the higher key."""
-    top = rk.top_k(_index(spark, root).saturated_tfidf(), 3, lower_first=False)
+    top = rk.top_k(index_of(spark, root).saturated_tfidf(), 3, lower_first=False)
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_scoped_by_source(spark: SparkSession, root: str) -> DataFrame:
     """BM25 inside the source a question names, statistics of the whole corpus."""
-    docs, questions = _docs(spark, root), _questions(spark, root)
-    top = rk.top_k(ev.scoped(_index(spark, root).bm25(), docs, questions), K)
+    docs, questions = docs_of(spark, root), questions_of(spark, root)
+    top = rk.top_k(ev.scoped(index_of(spark, root).bm25(), docs, questions), K)
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def planted(spark: SparkSession, root: str) -> DataFrame:
     """Which documents contain the start of which passage."""
-    return ev.planted_pairs(_questions(spark, root), _docs(spark, root)).select("qid", "doc_id")
+    return ev.planted_pairs(questions_of(spark, root), docs_of(spark, root)).select("qid", "doc_id")
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
-    return ev.evaluation_rows(_questions(spark, root), _bm25(spark, root), _docs(spark, root))
+    return ev.evaluation_rows(questions_of(spark, root), _bm25(spark, root), docs_of(spark, root))
 
 
 def eval_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -107,7 +107,7 @@ def eval_by_source(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _tfidf_ranked(spark: SparkSession, root: str, k: int) -> DataFrame:
-    return rk.top_k(_index(spark, root).saturated_tfidf(), k, lower_first=False)
+    return rk.top_k(index_of(spark, root).saturated_tfidf(), k, lower_first=False)
 
 
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
@@ -118,7 +118,7 @@ def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
 
 def ranker_disagreement(spark: SparkSession, root: str) -> DataFrame:
     """Questions that BM25 and the fused ranking do not both hit or miss."""
-    docs, questions = _docs(spark, root), _questions(spark, root)
+    docs, questions = docs_of(spark, root), questions_of(spark, root)
     fused = rk.fused_top_k(rk.reciprocal_rank_fusion(_bm25(spark, root, 2 * K), _tfidf_ranked(spark, root, 2 * K)), K)
     rows = [ev.evaluation_rows(questions, r, docs).filter("hit is not null") for r in (_bm25(spark, root, 1), fused)]
     return ev.ranker_disagreement(*rows).select("qid", "hit_a", "hit_b", "change")
@@ -139,16 +139,17 @@ def knn_top5(spark: SparkSession, root: str) -> DataFrame:
 
 def embed_stub(spark: SparkSession, root: str) -> DataFrame:
     """Hashed bag-of-terms vectors of all documents (a stand-in for an embedding model)."""
-    made = rk.hashed_embedding(_docs(spark, root), "doc_id", "text")
+    made = rk.hashed_embedding(docs_of(spark, root), "doc_id", "text")
     return made.select("doc_id", F.posexplode("embedding").alias("slot", "x")).filter("x <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("x", 6).alias("x"))
 
 
 def _hybrid(spark: SparkSession, root: str) -> DataFrame:
-    docs = _docs(spark, root)
+    docs = docs_of(spark, root)
     queries = _plain(spark, root).select((-F.col("qid")).alias("doc_id"), F.col("query").alias("text"))
     vectors = rk.hashed_embedding(docs.select("doc_id", "text"), "doc_id", "text")
     asked = rk.hashed_embedding(queries, "doc_id", "text")
-    near = rk.knn(vectors, asked, 2 * K, key="doc_id").select((-F.col("qid")).alias("qid"), "doc_id", "score", "rank")
+    sizes = (table(spark, root, "documents").count(), table(spark, root, "eval_items").count())
+    near = rk.knn(vectors, asked, 2 * K, key="doc_id", sizes=sizes).select((-F.col("qid")).alias("qid"), "doc_id", "score", "rank")
     return rk.fused_top_k(rk.reciprocal_rank_fusion(_bm25(spark, root, 2 * K), near), K)
 
 
@@ -159,14 +160,14 @@ def hybrid_top5(spark: SparkSession, root: str) -> DataFrame:
 
 def rescued_dropped(spark: SparkSession, root: str) -> DataFrame:
     """Questions that the hybrid ranking rescues or drops against BM25."""
-    docs, questions = _docs(spark, root), _questions(spark, root)
+    docs, questions = docs_of(spark, root), questions_of(spark, root)
     rows = [ev.evaluation_rows(questions, r, docs).filter("hit is not null") for r in (_bm25(spark, root), _hybrid(spark, root))]
     return ev.ranker_disagreement(*rows).groupBy("change").agg(F.count("*").alias("n"))
 
 
 def context_assembly(spark: SparkSession, root: str) -> DataFrame:
     """The context that the three best documents make for every question."""
-    made = ev.contexts(_bm25(spark, root, 3), _docs(spark, root))
+    made = ev.contexts(_bm25(spark, root, 3), docs_of(spark, root))
     return made.select("qid", F.md5("context").alias("digest"), F.length("context").cast("long").alias("chars"))
 
 
@@ -180,16 +181,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_RANK)
-_RANK = f"list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9$£€.\\-/]+'), lambda t: t NOT IN ({_STOP}))"
+RANK_SQL = f"list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9$£€.\\-/]+'), lambda t: t NOT IN ({_STOP}))"
 _BASE = f"""
 WITH docs AS (SELECT doc_id, CASE WHEN coalesce(title, text) IS NOT NULL THEN concat_ws(' ', title, text) END AS text, lower(trim(source)) AS source FROM documents WHERE doc_id IS NOT NULL),
-toks AS (SELECT doc_id, {_RANK.format('text')} AS t FROM docs),
+toks AS (SELECT doc_id, {RANK_SQL.format('text')} AS t FROM docs),
 lens AS (SELECT doc_id, coalesce(len(t), 0) AS dl FROM toks),
 tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)
 """
 _QUERY = f"""
 , qs AS (SELECT item_id AS qid, category, text AS query, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 60) AS key FROM eval_items),
-qt AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest({_RANK.format('query')}) AS term FROM qs) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest({RANK_SQL.format('query')}) AS term FROM qs) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term, n),
 bm AS (SELECT qid, doc_id, sum(qf * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0)))) AS score
@@ -231,6 +232,18 @@ near AS (SELECT q.qid, d.doc_id, round(coalesce(s, 0), 5) + 0.0 AS score FROM (S
   (SELECT qid, doc_id, sum(a.c / n.norm * (b.c / m.norm)) AS s FROM qslots a JOIN qnorms n USING (qid) JOIN slots b USING (slot) JOIN norms m USING (doc_id) GROUP BY ALL) x ON x.qid = q.qid AND x.doc_id = d.doc_id),
 nearr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM near)"""
 
+SCOPED_HYBRID_SQL = (
+    _BASE
+    + _QUERY.replace("bmr AS", "bmr0 AS")
+    + _VEC
+    + _QVEC.replace("nearr AS", "nearr0 AS")
+    + """, bmr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(score, 6) AS score FROM bm JOIN docs USING (doc_id) JOIN quest USING (qid)
+  WHERE document IS NULL OR document = source)),
+nearr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT qid, doc_id, score FROM near JOIN docs USING (doc_id) JOIN quest USING (qid) WHERE document IS NULL OR document = source))"""
+    + _fuse("nearr")
+    + "SELECT qid, doc_id, score, rank FROM fusr WHERE rank <= 5"
+)
+
 ORACLES: dict[str, str] = {
     "tokens_rank": _BASE + "SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS terms FROM toks WHERE t IS NOT NULL",
     "doc_len": _BASE + "SELECT doc_id, dl FROM lens",

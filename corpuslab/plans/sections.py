@@ -16,13 +16,14 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", marked.alias("text"))
 
 
-def _lines(spark: SparkSession, root: str) -> DataFrame:
+def document_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of the documents without marks."""
     return sg.lines_of(_docs(spark, root), "doc_id", "text")
 
 
 def line_scores(spark: SparkSession, root: str) -> DataFrame:
     """Heading score of every line."""
-    return _lines(spark, root).select("doc_id", F.col("line_no").cast("long").alias("line_no"), sg.line_score(F.col("line"), F.col("next_line")).cast("long").alias("score"))
+    return document_lines(spark, root).select("doc_id", F.col("line_no").cast("long").alias("line_no"), sg.line_score(F.col("line"), F.col("next_line")).cast("long").alias("score"))
 
 
 def headings(spark: SparkSession, root: str) -> DataFrame:
@@ -32,11 +33,12 @@ def headings(spark: SparkSession, root: str) -> DataFrame:
 
 def sections_merged(spark: SparkSession, root: str) -> DataFrame:
     """Sections of every document, short ones merged."""
-    made = sg.sections(_lines(spark, root), "doc_id")
+    made = sg.sections(document_lines(spark, root), "doc_id")
     return made.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "title", F.md5("body").alias("body"))
 
 
-def _font_lines(spark: SparkSession, root: str) -> DataFrame:
+def font_lines_of_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of the documents with font evidence made of marks and lengths."""
     raw = sg.lines_of(table(spark, root, "documents"), "doc_id", "text")
     bold = F.col("line").startswith("#") | (F.length("line") < 30)
     size = F.when(F.col("line").startswith("#"), 14.0).otherwise(10.0)
@@ -45,7 +47,7 @@ def _font_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def sections_by_font(spark: SparkSession, root: str) -> DataFrame:
     """Sections with emphasis as evidence: marked headings are large, short lines bold."""
-    lines = _font_lines(spark, root)
+    lines = font_lines_of_documents(spark, root)
     joined = lines.join(sg.body_size(lines, "doc_id", "size"), "doc_id")
     boost = sg.font_boost(F.col("size"), F.col("body_size"), F.col("bold"), F.col("line"))
     made = sg.sections(joined, "doc_id", boost=boost, font=True)
@@ -54,12 +56,12 @@ def sections_by_font(spark: SparkSession, root: str) -> DataFrame:
 
 def body_sizes(spark: SparkSession, root: str) -> DataFrame:
     """The body font size of every document."""
-    return sg.body_size(_font_lines(spark, root), "doc_id", "size")
+    return sg.body_size(font_lines_of_documents(spark, root), "doc_id", "size")
 
 
 def heading_key_sets(spark: SparkSession, root: str) -> DataFrame:
     """Squashed heading lines of every document by font."""
-    return sg.heading_keys(_font_lines(spark, root), "doc_id", "size", "bold").select("doc_id", F.array_join("keys", "|").alias("keys"))
+    return sg.heading_keys(font_lines_of_documents(spark, root), "doc_id", "size", "bold").select("doc_id", F.array_join("keys", "|").alias("keys"))
 
 
 def char_windows(spark: SparkSession, root: str) -> DataFrame:
@@ -92,7 +94,7 @@ def compose_matrices(spark: SparkSession, root: str) -> DataFrame:
 
 def split_long_sections(spark: SparkSession, root: str) -> DataFrame:
     """Sections with the long ones cut at sentence ends."""
-    made = sg.split_long(sg.sections(_lines(spark, root), "doc_id"), "doc_id")
+    made = sg.split_long(sg.sections(document_lines(spark, root), "doc_id"), "doc_id")
     return made.select("doc_id", "section_no", F.col("part_no").cast("long").alias("part_no"), "title", F.md5("body").alias("body"))
 
 

@@ -107,7 +107,7 @@ def _place_sql(paths: list[str]) -> str:
 
 _SAID = r"[^\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 _ELEMENT = r"\$(?:.*)?\.announcements\[\d+\]|\$\[\d+\]"
-_P1 = rf"""
+P1_SQL = rf"""
 WITH src AS (
   SELECT export_id, 'typed' AS source, to_json({{'announcements': announcements}}) AS j FROM announcements
   UNION ALL SELECT export_id, 'raw', payload::JSON FROM announcements_raw WHERE json_valid(payload)),
@@ -145,11 +145,11 @@ UNION ALL SELECT DISTINCT export_id, ann_id, 'tag', tag FROM tags WHERE ann_id I
 UNION ALL SELECT DISTINCT export_id, ann_id, 'body', par_no::VARCHAR FROM paras WHERE ann_id IS NOT NULL"""
 
 ORACLES: dict[str, str] = {
-    "p1_found": _P1 + _P1_CHILDREN,
-    "p1_announcements": _P1 + "SELECT export_id, source, base, ann_no, ann_id, title, posted FROM anns",
-    "p1_tags": _P1 + "SELECT export_id, source, base, ann_no, ann_id, tag FROM tags WHERE tag <> ''",
-    "p1_paragraphs": _P1 + "SELECT export_id, source, base, ann_no, ann_id, par_no, paragraph FROM paras",
-    "p1_unread": _P1
+    "p1_found": P1_SQL + _P1_CHILDREN,
+    "p1_announcements": P1_SQL + "SELECT export_id, source, base, ann_no, ann_id, title, posted FROM anns",
+    "p1_tags": P1_SQL + "SELECT export_id, source, base, ann_no, ann_id, tag FROM tags WHERE tag <> ''",
+    "p1_paragraphs": P1_SQL + "SELECT export_id, source, base, ann_no, ann_id, par_no, paragraph FROM paras",
+    "p1_unread": P1_SQL
     + """SELECT export_id, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'no JSON' ELSE 'no announcements' END AS reason
 FROM announcements_raw WHERE export_id NOT IN (SELECT export_id FROM anns WHERE source = 'raw')""",
     "p3_found": _P3 + "SELECT ref_table, row_id, ref_month, reason FROM found WHERE reason IS NOT NULL",

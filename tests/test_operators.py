@@ -272,11 +272,11 @@ def test_verbatim(spark):
     ref = spark.createDataFrame([(1, ref_text)], "item_id long, text string")
     quote = " ".join(ref_text.split()[30:60])
     docs = spark.createDataFrame([(1, f"intro words here {quote} and the end"), (2, "nothing to see in this one at all really"), (3, None), (4, "")], "doc_id long, text string")
-    got = [(r.doc_id, r.run) for r in verbatim.greedy_runs(docs, ref, "doc_id", "text", "text").collect()]
+    got = [(r.doc_id, r.run) for r in verbatim.greedy_runs(docs, ref, "doc_id", "text", "item_id", "text").collect()]
     assert got == [(1, quote)]
     assert verbatim.window_hits(docs, ref, "doc_id", "text", "item_id", "text").count() == 30 - 8 + 1
     with pytest.raises(ValueError, match="only"):
-        verbatim.greedy_runs(docs, spark.createDataFrame([(1, "tiny")], "item_id long, text string"), "doc_id", "text", "text")
+        verbatim.greedy_runs(docs, spark.createDataFrame([(1, "tiny")], "item_id long, text string"), "doc_id", "text", "item_id", "text")
     paths = spark.createDataFrame([("a/.env",), ("b.txt",)], "path string")
     assert [tuple(r) for r in verbatim.denied_paths(paths, "path", {"env": r"(^|/)\.env$"}).collect()] == [("a/.env", "env")]
 
