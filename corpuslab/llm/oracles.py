@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpuslab.llm.pairs import PLACEHOLDERS
+
 _WS = r"\s\p{Z}\x0B\x1C-\x1F\x{85}"
 _UNIT = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_WS}]"
 
@@ -92,6 +94,20 @@ WHERE subword IS NULL OR subword <= 0 OR abs(subword - tokens) > 0.2 * tokens"""
   count(*) AS docs, sum(t.tokens)::BIGINT AS tokens
 FROM totals t LEFT JOIN cost_by_source c ON {_norm('t.source_type')} = {_norm('c.source_type')} GROUP BY 1, 2, 3""",
     "p5_found": _PIECES,
+    "p5_whole": """SELECT doc_id, length(text) AS chars, 0::BIGINT AS first, 0::BIGINT AS over, 0::BIGINT AS changed, 0::BIGINT AS badly_shared, 0::BIGINT AS elsewhere
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC, text DESC) AS place FROM records WHERE doc_id IS NOT NULL) WHERE place = 1 AND length(text) > 1200""",
+    "p6_empty": f"""SELECT DISTINCT faq_id FROM faq_export WHERE NOT coalesce(regexp_matches(answer, '[\\p{{L}}\\p{{N}}]'), false)
+  OR lower(regexp_replace(answer, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) IN ({', '.join(f"'{p}'" for p in sorted(PLACEHOLDERS))})""",
+    "p7_items": _LEAKED.rstrip()
+    + """,
+words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+dwords AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM found)),
+same AS (SELECT item_id, doc_id, i - j AS diagonal, i FROM (
+  SELECT f.item_id, f.doc_id, a.i, b.j FROM found f JOIN (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM words) a ON a.item_id = f.item_id
+  JOIN (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM dwords) b ON b.doc_id = f.doc_id AND a.x = b.x)),
+runs AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, doc_id, diagonal ORDER BY i) AS island FROM same) GROUP BY item_id, doc_id, diagonal, island)
+SELECT items.item_id, coalesce(docs, 0) AS docs, coalesce(words, 0) AS words FROM (SELECT DISTINCT item_id FROM eval_items) items
+LEFT JOIN (SELECT item_id, count(DISTINCT doc_id) AS docs FROM found GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, max(n) AS words FROM runs GROUP BY 1) USING (item_id)""",
     "p7_found": _LEAKED + "SELECT item_id, doc_id FROM found",
     "p7_clean": _LEAKED + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     "p8_found": _MIX,

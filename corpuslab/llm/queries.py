@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import languages, leaks, mixing, pairs, split, terms, tokens
 from corpuslab.llm.oracles import ORACLES
+from corpuslab.operators.skew import current_rows
 from corpuslab.sources.tables import table
 
 
@@ -49,6 +50,36 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_oversized(table(spark, root, "records"))
 
 
+def p5_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the pieces of each oversized record fit, cover it without a gap, overlap as asked and end where they say."""
+    records = table(spark, root, "records")
+    made = split.split_oversized(records)
+    before = Window.partitionBy("doc_id").orderBy("piece_no")
+    texts = current_rows(records, F.col("doc_id"), ["text"]).select(F.col("key").alias("doc_id"), "text")
+    each = made.withColumn("_last", F.lag("stop").over(before)).withColumn("_size", F.lag(F.col("stop") - F.col("start")).over(before)).join(texts, "doc_id")
+    shared = F.col("_last") - F.col("start")
+    head = F.substring("text", F.lit(1), F.col("stop"))
+    ends = (
+        F.when(F.col("boundary") == "paragraph", head.rlike(r"\n\s*\n\s*$"))
+        .when(F.col("boundary") == "sentence", head.rlike(r"(?:\n|[.!?]\s+)$"))
+        .when(F.col("boundary") == "word", head.rlike(r"\s$"))
+        .otherwise(True)
+    )
+    return each.groupBy("doc_id").agg(
+        F.max("stop").cast("long").alias("chars"),
+        F.min("start").cast("long").alias("first"),
+        F.count_if(F.length("piece") > 1200).alias("over"),
+        F.count_if(F.col("piece") != F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))).alias("changed"),
+        F.count_if((shared < 1) | (shared > 200) | (shared < 120) & (F.col("_size") > 200)).alias("badly_shared"),
+        F.count_if(~ends).alias("elsewhere"),
+    )
+
+
+def p6_empty(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs whose answer has no content."""
+    return p6_found(spark, root).filter("defect = 'empty'").select("faq_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Question and answer pairs that cannot be used, with the kind of defect."""
     return pairs.broken_pairs(table(spark, root, "faq_export"), table(spark, root, "lang_samples"))
@@ -122,7 +153,7 @@ def p9_segments(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_top_terms, p4_found, p4_totals, p5_found, p5_pieces, p6_found, p6_report, p7_found, p7_clean, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
+    for f in (p2_found, p2_top_terms, p4_found, p4_totals, p5_found, p5_pieces, p5_whole, p6_found, p6_empty, p6_report, p7_found, p7_clean, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

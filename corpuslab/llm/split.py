@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import sqrt
 
@@ -17,7 +18,7 @@ _SENTENCES = re.compile(r"\n\s*\n|\n|(?<=[.!?])\s+")
 _SPACES = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 LEVELS = (("paragraph", _BLANK_LINES), ("sentence", _SENTENCES), ("word", _SPACES))
-SCHEMA = "doc_id string, cut_level string, piece_no int, start int, stop int, piece string"
+SCHEMA = "doc_id string, cut_level string, piece_no int, start int, stop int, piece string, boundary string"
 
 
 def starts(text: str, gaps: re.Pattern[str]) -> tuple[list[int], int]:
@@ -79,63 +80,71 @@ def valley_depths(text: str, block: int) -> tuple[list[int], list[float]]:
 
 
 def split_text(text: str, limit: int = 1200, overlap: int = 160, block: int = 30) -> tuple[str, list[tuple[int, int]]]:
-    """Cut level and spans of the pieces of a text over the limit.
+    """Cut level and `(start, stop)` of the pieces of a text over the limit."""
+    level, pieces = split_pieces(text, limit, overlap, block)
+    return level, [(a, b) for a, b, _ in pieces]
+
+
+def split_pieces(text: str, limit: int = 1200, overlap: int = 160, block: int = 30) -> tuple[str, list[tuple[int, int, str]]]:
+    """Cut level and `(start, stop, boundary)` of the pieces of a text over the limit.
 
     Each piece but the first starts at a word about `overlap` characters before the end of the one before; within the
     window that is left the boundary with the deepest cohesion valley in its last two thirds is taken, the last one on
-    ties. Where no boundary of the text's own level lies in the window (a paragraph close to the limit leaves no room
-    for the overlap) the next finer level is used, and only a run without white space is cut anywhere.
+    ties. The valley of a boundary is that of the next word, since what follows may start with a mark. Where no boundary
+    of the text's own level lies in the window (a paragraph close to the limit leaves no room for the overlap) the next
+    finer level is used, and only a run without white space is cut anywhere; `boundary` says at what the piece ends.
     """
     level = cut_level(text, limit)
     names = [name for name, _ in LEVELS]
     first = names.index(level) if level in names else len(names) - 1
     places, depths = valley_depths(text, block)
-    depth_at = dict(zip(places, depths, strict=True))
+
+    def depth(at: int) -> float:
+        i = bisect_left(places, at)
+        return depths[i] if i < len(places) else 0.0
+
     bounds = [starts(text, gaps)[0] for _, gaps in LEVELS[first:]]
     cursor = [0] * len(bounds)
-    spans: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, str]] = []
     begin, done, size = 0, 0, len(text)
     while size - begin > limit:
-        low, high, cut = max(done + 1, begin + limit // 3), begin + limit, 0
+        low, high, cut, kind = max(done + 1, begin + limit // 3), begin + limit, 0, "none"
         for k, at in enumerate(bounds):
             while cursor[k] < len(at) and at[cursor[k]] <= done:
                 cursor[k] += 1
-            inside = []
-            for i in range(cursor[k], len(at)):
-                if at[i] > high:
-                    break
-                inside.append(at[i])
-            late = [x for x in inside if x >= low]
+            inside = at[cursor[k] : bisect_left(at, high + 1, cursor[k])]
+            late = inside[bisect_left(inside, low) :]
             if late:
-                cut = max(late, key=lambda x: (depth_at.get(x, 0.0), x))
+                cut = max(late, key=lambda x: (depth(x), x))
             elif inside:
                 cut = inside[-1]
             if cut:
+                kind = names[first + k]
                 break
         cut = cut or high
-        spans.append((begin, cut))
+        spans.append((begin, cut, kind))
         done = cut
         want = cut - overlap
         space = _SPACES.search(text, max(begin + 1, want - overlap // 4), max(begin + 1, min(cut, want + overlap // 4)))
         begin = max(begin + 1, space.end() if space else want)
-    spans.append((begin, size))
+    spans.append((begin, size, "end"))
     return level, spans
 
 
 def split_oversized(records: DataFrame, limit: int = 1200, overlap: int = 160, block: int = 30) -> DataFrame:
-    """Pieces `(doc_id, cut_level, piece_no, start, stop, piece)` of the current records whose text exceeds the limit.
+    """Pieces `(doc_id, cut_level, piece_no, start, stop, piece, boundary)` of the current records whose text exceeds the limit.
 
-    Lengths and positions are in characters. Only oversized texts reach Python; null and short texts have no rows.
+    `cut_level` is the coarsest boundary at which all pieces could fit, `boundary` that at which the piece ends. Lengths and positions are in characters. Only oversized texts reach Python; null and short texts have no rows.
     """
     current = current_rows(records, F.col("doc_id"), ["text"]).filter(F.length("text") > limit).withColumnRenamed("key", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "cut_level", "piece_no", "start", "stop", "piece"]
+        names = ["doc_id", "cut_level", "piece_no", "start", "stop", "piece", "boundary"]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                level, spans = split_text(text, limit, overlap, block)
-                rows.extend((doc_id, level, i, a, b, text[a:b]) for i, (a, b) in enumerate(spans, 1))
+                level, spans = split_pieces(text, limit, overlap, block)
+                rows.extend((doc_id, level, i, a, b, text[a:b], kind) for i, (a, b, kind) in enumerate(spans, 1))
                 if len(rows) > 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []

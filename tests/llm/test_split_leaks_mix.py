@@ -33,6 +33,16 @@ def test_cut_levels_and_boundaries():
     assert abs(split.split_text(topic, 1000)[1][0][1] - 500) < 60
 
 
+def test_boundaries_of_marked_paragraphs():
+    """A boundary before a bullet or a quote has the valley of the word that follows the mark."""
+    boats, kit = "- boat oar river crew cox boat oar river.", "- shirt sock boot lace kit shirt sock."
+    text = "\n\n".join([boats] * 12 + [kit] * 14)
+    level, pieces = split.split_pieces(text, 900)
+    assert level == "paragraph" and {k for _, _, k in pieces} <= {"paragraph", "end"}
+    assert pieces[0][1] == len("\n\n".join([boats] * 12)) + 2
+    assert split.split_pieces("x" * 1300)[1] == [(0, 1200, "none"), (1040, 1300, "end")]
+
+
 def test_valleys_equal_plain_cosines():
     rng = random.Random(1)
     text = " ".join(rng.choice("abcdefg") for _ in range(200))
