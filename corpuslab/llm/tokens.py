@@ -49,22 +49,24 @@ def unit_lengths(distinct_units: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def record_tokens(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """`(key, tokens, source_type, lang, topic)` of the current record of each key (`doc_id` without case and spaces).
 
-    Distinct units are counted and tokenized once. Lengths of units above a fixed fraction of all occurrences are
-    broadcast and summed where the text is; only the document frequencies of rarer units move to meet their lengths.
-    A null or empty text has 0 tokens.
+    Distinct units are counted and tokenized once. The units of each record are then counted once: lengths of units above
+    a fixed fraction of all occurrences are broadcast and summed where the text is, one row a record, and only the
+    document frequencies of rarer units move to meet their lengths. A null or empty text has 0 tokens.
     """
     current = current_rows(records, norm_key(F.col("doc_id")), ["text", "source_type", "lang", "topic"])
     each = current.select("key", F.explode(units(F.col("text"))).alias("unit"))
     counted = each.groupBy("unit").agg(F.count("*").alias("n"))
     limit = F.coalesce(counted.agg(F.sum("n")).scalar(), F.lit(0)) * F.lit(HOT)
     lengths = unit_lengths(counted, vocabulary)
-    hot = F.broadcast(lengths.filter(F.col("n") > limit).select("unit", "length"))
+    hot = F.broadcast(lengths.filter(F.col("n") > limit).select("unit", F.col("length").alias("_hot")))
     cold = lengths.filter(F.col("n") <= limit).select("unit", "length")
-    near = each.join(hot, "unit").groupBy("key").agg(F.sum("length").alias("tokens"))
-    rare = each.join(F.broadcast(counted.filter(F.col("n") > limit).select("unit")), "unit", "left_anti")
-    far = rare.groupBy("key", "unit").agg(F.count("*").alias("f")).join(cold, "unit").select("key", (F.col("f") * F.col("length")).alias("tokens"))
+    marked = each.join(hot, "unit", "left")
+    # what is known at once is kept under the record's own key, which is no unit, so that it meets no length and no other record
+    met = F.when(F.col("_hot").isNull(), F.col("unit")).otherwise(F.concat(F.lit(" "), "key"))
+    freq = marked.groupBy("key", met.alias("unit")).agg(F.count("*").alias("f"), F.sum("_hot").alias("_hot"))
+    sums = freq.join(cold, "unit", "left").select("key", F.coalesce("_hot", F.col("f") * F.col("length")).alias("tokens"))
     facts = current.select("key", F.lit(0).cast("long").alias("tokens"), "source_type", "lang", "topic")
-    parts = facts.unionByName(near, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
+    parts = facts.unionByName(sums, allowMissingColumns=True)
     return parts.groupBy("key").agg(F.sum("tokens").alias("tokens"), *[F.max(x).alias(x) for x in ("source_type", "lang", "topic")])
 
 
