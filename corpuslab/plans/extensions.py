@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import keys, models, ranking, runs
 from corpuslab.plans.retrieval import RANK_SQL
-from corpuslab.session import cut_lineage, ensure_checkpoint_dir
+from corpuslab.session import cut_lineage, ensure_checkpoint_dir, remove_folder
 from corpuslab.sources.tables import table
 from corpuslab.streaming import questions as st
 
@@ -23,6 +23,7 @@ def append_questions_stream(spark: SparkSession, root: str) -> DataFrame:
     """Questions through the stream that lets each id pass once."""
     out, state = _folder(spark, "questions"), _folder(spark, "state")
     st.run_to_end(st.new_questions(st.stream_table(spark, root, "questions_public")), out, state)
+    remove_folder(spark, state)
     return spark.read.parquet(out).select("qid", "category", "expect")
 
 
@@ -31,6 +32,7 @@ def event_window_stream(spark: SparkSession, root: str) -> DataFrame:
     out, state = _folder(spark, "windows"), _folder(spark, "state")
     stream = st.stream_table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     st.run_updates(st.event_windows(stream, "ts", "event_type", "value"), out, state)
+    remove_folder(spark, state)
     last = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
     return last.select("window.start", "event_type", "last.n", F.round("last.total", 6).alias("total"))
 

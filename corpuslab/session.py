@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="corpuslab-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -45,3 +48,10 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder once, so that later uses read it instead of computing it again."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark knows, if it is there."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)

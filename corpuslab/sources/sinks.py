@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per line, nulls kept as missing keys, text unescaped."""
-    df.write.mode(mode).json(path)
+    """One JSON object per line with every key, nulls as null, text unescaped."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     """Append rows; every commit writes files of its own, so no line can run into another."""
-    df.write.mode("append").json(path)
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header and quotes doubled inside quotes; line breaks inside cells are kept in quotes."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", quoted: bool = True) -> None:
+    """CSV with a header; quotes are doubled inside quotes and line breaks inside cells kept in quotes.
+
+    With `quoted` false only cells that need quotes have them, so that plain cells read as if joined by commas.
+    """
+    df.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", quoted).csv(path)
 
 
 def run_path(base: str, **parts: object) -> str:

@@ -326,3 +326,73 @@ def test_key_proposals(spark):
     assert "£38" in got[0] and got[1:] == ["", ""]
 
 
+def test_sections_by_number_and_fallback(spark):
+    text = "cover\n1. First\nRevision 4\na\n\nb\nPage 3\n2. Empty\n10. Last\nc"
+    lines = segments.lines_of(spark.createDataFrame([(1, text), (2, "no heading"), (3, None), (4, "")], "d long, t string"), "d", "t")
+    got = [(r.d, r.section_no, r.number, r.title, r.body) for r in segments.numbered_sections(lines, "d").orderBy("d", "section_no").collect()]
+    assert got == [(1, 1, "1", "First", "a b"), (1, 2, "2", "Empty", ""), (1, 3, "10", "Last", "c")]
+    first = spark.createDataFrame([(1, "f")], "d long, body string")
+    second = spark.createDataFrame([(1, "t"), (2, "t")], "d long, body string")
+    assert sorted((r.d, r.body, r.used) for r in segments.with_fallback(first, second, "d").collect()) == [(1, "f", "font"), (2, "t", "text")]
+
+
+def test_rows_without_the_last(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(5)], "k long, v string")
+    assert sorted(r.k for r in records.without_last(df, "k", 2).collect()) == [0, 1, 2]
+    assert records.without_last(df, "k", 9).count() == 0 and records.without_last(df, "k", 0).count() == 5
+
+
+def test_scoped_vector_search(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], rng.choice("abc")) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, place string")
+    asked = spark.createDataFrame([(1000 + i, v, p if i % 3 else None) for i, (_, v, p) in enumerate(rows[:12])], "vec_id long, embedding array<double>, place string")
+    got = {}
+    for r in ranking.knn(vectors, asked, 3, query_block=5, chunk=20, scope="place").orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.vec_id)
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 5)
+
+    for q in asked.collect():
+        inside = [(cosine(q.embedding, v), i) for i, v, p in rows if q.place is None or p == q.place]
+        assert got[q.vec_id] == [i for _, i in sorted(inside, reverse=True)[:3]]
+
+
+def test_embedding_client_in_batches_with_fallback(spark):
+    class Fussy:
+        def embed(self, texts):
+            if len(texts) > 32 or "bad" in texts:
+                raise RuntimeError("no")
+            return [[float(len(t))] for t in texts]
+
+    class Plain:
+        def embed(self, texts):
+            return [[-1.0] for _ in texts]
+
+    docs = spark.createDataFrame([(i, None if i == 3 else "bad" if i == 90 else "x" * i) for i in range(100)], "k long, t string").coalesce(1)
+    got = {r.k: r.embedding for r in ranking.embedded(docs, "k", F.col("t"), Fussy(), Plain()).collect()}
+    assert got[5] == [5.0] and got[3] == [0.0] and got[64] == [64.0] and got[90] == [-1.0]
+    assert sum(v == [-1.0] for v in got.values()) <= 32  # only the batch of the text that fails
+    with pytest.raises(Exception, match="no"):
+        ranking.embedded(docs, "k", F.col("t"), Fussy()).collect()
+    assert ranking.hashed_embedding(docs.limit(0), "k", "t").count() == 0
+
+
+def test_runners(spark):
+    class Echo:
+        def complete(self, model, prompt, temperature, seed):
+            said = "positive." if "sentiment" in prompt else '{"topic": 1, "action_required": true, "deadline": null}' if "JSON" in prompt else "That is not covered in the club documents." if "secret" in prompt else prompt
+            return said, 0.5, 3, 4
+
+    cases = spark.createDataFrame([(1, "who?", "the BURSAR", "bursar"), (2, "who?", "nobody", "bursar"), (3, "secret", "", None), (4, "open", None, None)], "case_id long, question string, context string, fact string")
+    got = {(r.case_id, r.kind): r.ok for r in models.run_cases(cases, Echo(), ("m",)).collect()}
+    assert got == {(1, "grounded"): True, (2, "grounded"): False, (3, "refusal"): True, (4, "refusal"): False}
+    one = spark.createDataFrame([(1, "x"), (2, None)], "id long, text string")
+    tasks = models.run_tasks({"sentiment": one, "summarize": one, "extract": one}, Echo(), "m").collect()
+    assert len(tasks) == 6 and all(r.ok for r in tasks)
+    floor = models.noise_floor(spark.createDataFrame([("p",)], "p string"), "p", Echo(), "m", 4).first()
+    assert (floor.runs, floor.unique, floor.label) == (4, 1, "deterministic")
+    assert models.temperature_identity(one, "id", "text", models.StubClient(), "m").filter("not same").count() == 0
+    both = models.grounded_and_plain(spark.createDataFrame([("q", "who?", None), ("r", "who?", "a b c")], "qid string, question string, context string"), Echo(), "m")
+    assert all(r.cost_grounded > r.cost_plain for r in both.collect())

@@ -82,3 +82,12 @@ def test_record_and_chat_streams(spark, tmp_path):
     q = chats.writeStream.format("memory").queryName("chats_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cs")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.turn for r in spark.sql("select * from chats_out").collect()) == [0, 5, 6, 7, 8]
+
+
+def test_sinks_keep_null_keys_and_plain_cells(spark, tmp_path):
+    rows = spark.createDataFrame([("é", None), ("a,b", "x")], "t string, u string")
+    sinks.write_jsonl(rows, str(tmp_path / "j"))
+    lines = sorted(x for f in (tmp_path / "j").glob("*.json") for x in f.read_text().splitlines())
+    assert lines == ['{"t":"a,b","u":"x"}', '{"t":"é","u":null}']
+    sinks.write_csv(rows.coalesce(1), str(tmp_path / "c"), quoted=False)
+    assert sorted(x for f in (tmp_path / "c").glob("*.csv") for x in f.read_text().splitlines()) == ['"a,b",x', "t,u", "é,"]
