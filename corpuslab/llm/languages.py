@@ -58,7 +58,8 @@ def words_of(text: str) -> str:
 def ngram_rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`(row, bucket, count)` of the hashed n-grams of each line of words, in order of row."""
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    row = np.cumsum(codes == 10).astype(np.int64)
+    kind = np.int32 if len(lines) * BUCKETS < 1 << 31 else np.int64
+    row = np.cumsum(codes == 10).astype(kind)
     keys = []
     value = np.zeros(len(codes), np.uint64)
     for size in range(1, max(SIZES) + 1):
@@ -69,12 +70,17 @@ def ngram_rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if size in SIZES:
             mixed = value + np.uint64(size)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * _SCALE[1]
-            bucket = ((mixed ^ (mixed >> np.uint64(17))) % np.uint64(BUCKETS)).astype(np.int64)
+            bucket = ((mixed ^ (mixed >> np.uint64(17))) & np.uint64(BUCKETS - 1)).astype(kind)
             inside = (row[:n] == row[size - 1 :]) & (codes[:n] != 10) & (codes[size - 1 :] != 10)
             keys.append((row[:n] * BUCKETS + bucket)[inside])
-    found = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    found = np.sort(np.concatenate(keys)) if keys else np.zeros(0, kind)
     first = np.flatnonzero(np.diff(found, prepend=-1))
-    return found[first] // BUCKETS, found[first] % BUCKETS, np.diff(np.append(first, len(found)))
+    once = found[first]
+    return (once // BUCKETS).astype(np.int64), (once & (BUCKETS - 1)).astype(np.int64), np.diff(np.append(first, len(found)))
+
+
+#: 1 + log of a count, up to counts that no sentence has.
+_DAMPED = 1 + np.log(np.maximum(np.arange(1 << 14), 1))
 
 
 @dataclass
@@ -104,7 +110,12 @@ class _Sparse:
 
     def dots(self, centroids: np.ndarray) -> np.ndarray:
         """The inner product of every row with every centroid."""
-        return np.stack([np.bincount(self.row, self.weight * c[self.bucket], self.n) for c in centroids], 1) if len(centroids) else np.zeros((self.n, 0))
+        out = np.zeros((self.n, len(centroids)))
+        if len(self.row):
+            first = np.flatnonzero(np.diff(self.row, prepend=-1))
+            for j, c in enumerate(centroids):
+                out[self.row[first], j] = np.add.reduceat(self.weight * c[self.bucket], first)
+        return out
 
     def total(self, rows: np.ndarray) -> np.ndarray:
         """The sum of some rows."""
@@ -114,7 +125,7 @@ class _Sparse:
 
 def _vectors(lines: list[str], idf: np.ndarray) -> _Sparse:
     row, bucket, count = ngram_rows(lines)
-    weight = (1 + np.log(count)) * idf[bucket]
+    weight = _DAMPED[np.minimum(count, len(_DAMPED) - 1)] * idf[bucket]
     norm = np.sqrt(np.bincount(row, weight * weight, len(lines)))
     return _Sparse(row, bucket, weight / np.maximum(norm, 1e-9)[row], len(lines))
 
