@@ -132,7 +132,8 @@ def _arrow(out: Levels, value: pa.Array, path: str, rec: np.ndarray, r: np.ndarr
     if pa.types.is_struct(value.type):
         for i in range(value.type.num_fields):
             _arrow(out, pc.struct_field(value, [i]), path + field_step(value.type.field(i).name), rec, r, here, at, depth)
-    elif pa.types.is_list(value.type) or pa.types.is_large_list(value.type):
+    elif pa.types.is_list(value.type) or pa.types.is_large_list(value.type) or pa.types.is_map(value.type):
+        entries = pa.StructArray.from_arrays([value.keys, value.items], ["key", "value"]) if pa.types.is_map(value.type) else value.values
         offsets = np.asarray(value.offsets).astype(np.int64)
         size = np.append(np.diff(offsets), 0)[at]
         times = np.maximum(size, 1)
@@ -140,16 +141,20 @@ def _arrow(out: Levels, value: pa.Array, path: str, rec: np.ndarray, r: np.ndarr
         nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         filled = size[of] > 0
         inner = np.where(filled, offsets[:-1][at[of]] + nth if len(value) else -1, -1)
-        _arrow(out, value.values, f"{path}[]", rec[of], np.where(nth > 0, depth + 1, r[of]), here[of] + filled, inner, depth + 1)
+        _arrow(out, entries, f"{path}[]", rec[of], np.where(nth > 0, depth + 1, r[of]), here[of] + filled, inner, depth + 1)
     else:
-        text = pc.cast(value, pa.string()).to_pylist()
+        raw = pa.types.is_binary(value.type) or pa.types.is_large_binary(value.type)
+        text = [None if x is None else x.hex() for x in value.to_pylist()] if raw else pc.cast(value, pa.string()).to_pylist()
         number = pa.types.is_integer(value.type) or pa.types.is_floating(value.type) or pa.types.is_decimal(value.type)
         v = [text[i] if i >= 0 else None for i in at.tolist()]
         out.sequences[path] = Sequence(path, rec, np.arange(len(rec)), r, here, v, [number] * len(v))
 
 
 def arrow_levels(column: pa.Array, root: str = "") -> Levels:
-    """Level sequences of a typed nested column; `root` is the path of the column itself, whose parents are there."""
+    """Level sequences of a typed nested column; `root` is the path of the column itself, whose parents are there.
+
+    A map is an array of `key` and `value`; binary values are written in hexadecimal.
+    """
     n = len(column)
     out = Levels(n)
     zero = np.zeros(n, np.int64)

@@ -186,7 +186,8 @@ def leak_by_doc(spark: SparkSession, root: str) -> DataFrame:
 
 def leak_greedy_runs(spark: SparkSession, root: str) -> DataFrame:
     """Maximal verbatim runs."""
-    return verbatim.greedy_runs(table(spark, root, "documents"), table(spark, root, "eval_items"), "doc_id", "text", "item_id", "text")
+    made = verbatim.greedy_runs(table(spark, root, "documents"), table(spark, root, "eval_items"), "doc_id", "text", "item_id", "text")
+    return made.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "run")
 
 
 def secret_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -424,6 +425,13 @@ SELECT category, coalesce(n, 0) AS n, coalesce(refuse, 0)::BIGINT AS refuse, NUL
 UNION ALL SELECT 'total', count(*), count_if(expect = 'refuse')::BIGINT, count(*) >= 25 AND count_if(expect = 'refuse') >= 5 FROM questions_public""",
     "leak_window_hits": _WINDOWS + "SELECT doc_id, start, item_id FROM hits",
     "leak_by_doc": _WINDOWS + "SELECT doc_id, count(*) AS hits, count(DISTINCT item_id) AS items FROM hits GROUP BY 1",
+    "leak_greedy_runs": _WINDOWS.replace("WITH w AS", "WITH RECURSIVE w AS")
+    + """, longest AS (SELECT doc_id, start, max(stop) AS stop FROM (SELECT h.doc_id, h.start, unnest(range(h.start + 8, len(w.w) + 1)) AS stop, w.w, ref.ref FROM hits h JOIN w USING (doc_id) JOIN ref USING (item_id))
+  WHERE contains(ref, regexp_replace(lower(array_to_string(w[start + 1:stop], ' ')), '[^a-z0-9]+', '', 'g')) GROUP BY doc_id, start),
+linked AS (SELECT l.*, (SELECT min(n.start) FROM longest n WHERE n.doc_id = l.doc_id AND n.start >= l.stop) AS next FROM longest l),
+walk AS (SELECT linked.* FROM linked JOIN (SELECT doc_id, min(start) AS start FROM longest GROUP BY doc_id) USING (doc_id, start)
+  UNION ALL SELECT n.* FROM walk JOIN linked n ON n.doc_id = walk.doc_id AND n.start = walk.next)
+SELECT doc_id, start, stop, array_to_string(w[start + 1:stop], ' ') AS run FROM walk JOIN w USING (doc_id)""",
     "secret_scan": r"""WITH n AS (SELECT 'customer-' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'mail c' || c_custkey || '@example.org' WHEN c_custkey % 7 = 0 THEN 'call (555) 010-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')
   WHEN c_custkey % 11 = 0 THEN 'sk-' || md5(c_custkey::VARCHAR) ELSE c_name END AS note FROM customer
   UNION ALL SELECT 'documents-' || doc_id, text FROM documents UNION ALL SELECT 'records-' || doc_id, text FROM records UNION ALL SELECT 'faq_export-' || faq_id, answer FROM faq_export),

@@ -141,3 +141,12 @@ def test_levels_as_rows(spark):
     got = sorted((r.k, r.path, r.r, r.d, r.v, r.is_num) for r in shred(df.drop("rec"), ["k"], "v").collect())
     assert got == [(1, ".a[]", 0, 4, "1", True), (1, ".a[]", 1, 4, "x", False)]
     assert shred(df.limit(0).drop("rec"), ["k"], "v").count() == 0
+
+
+def test_maps_and_binary_values():
+    kind = pa.struct([("m", pa.map_(pa.string(), pa.list_(pa.int64()))), ("b", pa.binary())])
+    levels = arrow_levels(pa.array([{"m": [("x", [1, 2]), ("y", [])], "b": b"\xff"}, {"m": None, "b": None}, None], kind))
+    table = levels.table(".m[]")
+    assert (table.rec, table.number, table.columns[".key"]) == ([0, 0], [1, 2], ["x", "y"])
+    inner = levels.table(".m[].value[]")
+    assert inner.columns[""] == ["1", "2"] and levels.sequences[".b"].v == ["ff", None, None]
