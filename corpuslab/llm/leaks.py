@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,34 +112,48 @@ def shard_matches(doc_ids: list[int], texts: list[str], suite: Suite) -> list[tu
     return [(*pair, *found) for pair, found in best.items()]
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 8, shard_chars: int = 3_000_000) -> DataFrame:
+#: Characters of items whose suffixes go to the tasks together; each takes about 10 bytes there.
+SUITE_CHARS = 20_000_000
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 8, shard_chars: int = 3_000_000, suite_chars: int = SUITE_CHARS) -> DataFrame:
     """`(item_id, doc_id, words, item_start, doc_start)`: the longest run of words an item shares with a document.
 
     Words are maximal runs of a-z and 0-9 in the lower-cased text; runs under `least` words do not count. Each task
     joins its documents into shards of about `shard_chars` characters, builds a suffix array of each and binary-searches
-    every suffix of every item in it; documents do not move. The items are the fixed held-out set of an evaluation and
-    go to the tasks with the code. Null and blank texts match nothing; null ids are dropped.
+    every suffix of every item in it; documents do not move. The items are the held-out set of an evaluation and go to
+    the tasks with the code, in blocks by a hash of their id if they have more than `suite_chars` characters; the
+    documents are then read once for each block. Null and blank texts match nothing; null ids are dropped.
     """
-    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").collect()
-    suite = Suite([(r.item_id, r.text) for r in rows], least)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["item_id", "doc_id", "words", "item_start", "doc_start"]
-        ids: list[int] = []
-        texts: list[str] = []
-        size = 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                if size >= shard_chars:
-                    yield pd.DataFrame(shard_matches(ids, texts, suite), columns=names)
-                    ids, texts, size = [], [], 0
-        yield pd.DataFrame(shard_matches(ids, texts, suite), columns=names)
-
+    known = items.select("item_id", "text").filter("item_id is not null and text is not null")
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // suite_chars) or 1
     usable = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return usable.mapInPandas(run, SCHEMA)
+
+    def searched(rows: list) -> DataFrame:
+        suite = Suite([(r.item_id, r.text) for r in rows], least)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["item_id", "doc_id", "words", "item_start", "doc_start"]
+            ids: list[int] = []
+            texts: list[str] = []
+            size = 0
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    ids.append(doc_id)
+                    texts.append(text)
+                    size += len(text)
+                    if size >= shard_chars:
+                        yield pd.DataFrame(shard_matches(ids, texts, suite), columns=names)
+                        ids, texts, size = [], [], 0
+            yield pd.DataFrame(shard_matches(ids, texts, suite), columns=names)
+
+        return usable.mapInPandas(run, SCHEMA)
+
+    if blocks == 1:
+        return searched(known.collect())
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [searched(known.filter(block == i).collect()) for i in range(blocks)])
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:

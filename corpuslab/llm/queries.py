@@ -14,8 +14,8 @@ from corpuslab.sources.tables import table
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Terms that occur three or more times in a record and in two to six records."""
-    return terms.distinctive_terms(table(spark, root, "records"), min_tf=3, min_df=2, max_df=6).select("doc_id", "term")
+    """Terms that occur three or more times in a record and in two to six records, by their score, which is above 0 for all."""
+    return terms.distinctive_terms(table(spark, root, "records"), min_tf=3, min_df=2, max_df=6).filter("score > 0").select("doc_id", "term")
 
 
 def p2_top_terms(spark: SparkSession, root: str) -> DataFrame:

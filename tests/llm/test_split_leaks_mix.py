@@ -103,6 +103,8 @@ def test_leaks_equal_brute_force(frame):
     for chars in (100, 3_000_000):
         found = leaks.leaked_passages(df, it, 8, chars)
         assert {(r.item_id, r.doc_id) for r in found.collect()} == brute_leaks(docs, items, 8)
+    in_blocks = leaks.leaked_passages(df, it, 8, suite_chars=300)
+    assert sorted(map(tuple, in_blocks.select("item_id", "doc_id", "words").collect())) == sorted(map(tuple, found.select("item_id", "doc_id", "words").collect()))
     clean = {r.doc_id for r in leaks.without_leaks(df, found).collect()}
     assert clean == {d for d, _ in docs} - {d for _, d in brute_leaks(docs, items, 8)}
     by = {r.item_id: r.docs for r in leaks.leaks_by_item(it, found).collect()}
