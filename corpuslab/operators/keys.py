@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import tokens
-from corpuslab.operators.ranking import TermIndex, top_k
+from corpuslab.operators.ranking import TermIndex
 
 #: An amount or number, and the clause around it.
 FIGURE = r"[$£€]\s?\d|\b\d{1,4}\b"
@@ -48,8 +48,8 @@ def with_proposed_key(rows: DataFrame, question: str, passage: str, name: str =
 def proposed_keys(questions: DataFrame, passages: DataFrame, k: int = 4) -> DataFrame:
     """`(qid, doc_id, rank, proposed)`: a key from each of the k best passages of every question by saturated TF-IDF."""
     index = TermIndex(passages, questions, tokenizer="draft")
-    best = top_k(index.saturated_tfidf(), k, lower_first=False)
-    joined = best.join(passages.select("doc_id", "text"), "doc_id").join(F.broadcast(questions.select("qid", "query")), "qid")
+    best = index.top(k, "tfidf", zeros=False, lower_first=False)
+    joined = passages.select("doc_id", "text").join(F.broadcast(best), "doc_id").join(F.broadcast(questions.select("qid", "query")), "qid")
     return with_proposed_key(joined, "query", "text").select("qid", "doc_id", "rank", "proposed")
 
 

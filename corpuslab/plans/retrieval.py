@@ -38,8 +38,7 @@ def index_of(spark: SparkSession, root: str) -> rk.TermIndex:
 
 
 def _bm25(spark: SparkSession, root: str, k: int = K) -> DataFrame:
-    index = index_of(spark, root)
-    return rk.top_k(index.padded(index.bm25(), k), k)
+    return index_of(spark, root).top(k)
 
 
 def tokens_rank(spark: SparkSession, root: str) -> DataFrame:
@@ -66,14 +65,19 @@ def bm25_top5(spark: SparkSession, root: str) -> DataFrame:
 
 def tfidf_saturated_top3(spark: SparkSession, root: str) -> DataFrame:
     """The three best documents by saturated TF-IDF; no score, no place; ties to the higher key."""
-    top = rk.top_k(index_of(spark, root).saturated_tfidf(), 3, lower_first=False)
+    top = _tfidf_ranked(spark, root, 3)
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def scoped_bm25(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """The k best documents of every question by BM25 among those of the source it names."""
+    docs = docs_of(spark, root).withColumnRenamed("source", "scope")
+    return index_of(spark, root).top(k, zeros=False, scope=(docs, questions_of(spark, root).select("qid", F.col("document").alias("scope"))))
+
+
 def bm25_scoped_by_source(spark: SparkSession, root: str) -> DataFrame:
     """BM25 inside the source a question names, statistics of the whole corpus."""
-    docs, questions = docs_of(spark, root), questions_of(spark, root)
-    top = rk.top_k(ev.scoped(index_of(spark, root).bm25(), docs, questions), K)
+    top = scoped_bm25(spark, root, K)
     return top.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -107,7 +111,7 @@ def eval_by_source(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _tfidf_ranked(spark: SparkSession, root: str, k: int) -> DataFrame:
-    return rk.top_k(index_of(spark, root).saturated_tfidf(), k, lower_first=False)
+    return index_of(spark, root).top(k, "tfidf", zeros=False, lower_first=False)
 
 
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators import auditing, models, ranking, records, runs
-from corpuslab.operators import evaluation as ev
 from corpuslab.operators import segments as sg
 from corpuslab.plans import audits, retrieval, sections, training
 from corpuslab.sources import readers
@@ -95,8 +94,7 @@ def hybrid_scoped_top5(spark: SparkSession, root: str) -> DataFrame:
     """BM25 and the vector ranking inside the source a question names, fused."""
     docs, questions = retrieval.docs_of(spark, root), retrieval.questions_of(spark, root)
     k = retrieval.K
-    index = retrieval.index_of(spark, root)
-    lexical = ranking.top_k(ev.scoped(index.bm25(), docs, questions), 2 * k)
+    lexical = retrieval.scoped_bm25(spark, root, 2 * k)
     vectors = ranking.hashed_embedding(docs.select("doc_id", "text"), "doc_id", "text").join(docs.select("doc_id", F.col("source").alias("scope")), "doc_id")
     named = questions.select((-F.col("qid")).alias("doc_id"), F.col("document").alias("scope"))
     asked = ranking.hashed_embedding(questions.select((-F.col("qid")).alias("doc_id"), F.col("query").alias("text")), "doc_id", "text").join(F.broadcast(named), "doc_id")

@@ -372,7 +372,7 @@ def test_embedding_client_in_batches_with_fallback(spark):
 
     docs = spark.createDataFrame([(i, None if i == 3 else "bad" if i == 90 else "x" * i) for i in range(100)], "k long, t string").coalesce(1)
     got = {r.k: r.embedding for r in ranking.embedded(docs, "k", F.col("t"), Fussy(), Plain()).collect()}
-    assert got[5] == [5.0] and got[3] == [0.0] and got[64] == [64.0] and got[90] == [-1.0]
+    assert got[5] == [5.0] and got[3] == [0.0] and got[63] == [63.0] and got[64] == got[90] == [-1.0]
     assert sum(v == [-1.0] for v in got.values()) <= 32  # only the batch of the text that fails
     with pytest.raises(Exception, match="no"):
         ranking.embedded(docs, "k", F.col("t"), Fussy()).collect()
@@ -396,3 +396,22 @@ def test_runners(spark):
     assert models.temperature_identity(one, "id", "text", models.StubClient(), "m").filter("not same").count() == 0
     both = models.grounded_and_plain(spark.createDataFrame([("q", "who?", None), ("r", "who?", "a b c")], "qid string, question string, context string"), Echo(), "m")
     assert all(r.cost_grounded > r.cost_plain for r in both.collect())
+
+
+def test_block_ranking_equals_ranking_of_all_scores(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, None if i == 7 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), rng.choice("ab")) for i in range(80)] + [(None, "w1", "a")]
+    asked = [(q, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for q in range(9)] + [(50, "unknown"), (51, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, scope string")
+    index = ranking.TermIndex(df.drop("scope"), spark.createDataFrame(asked, "qid long, query string"))
+
+    def rows(ranked):
+        return sorted((r.qid, r.rank, r.doc_id, round(r.score, 5)) for r in ranked.collect())
+
+    assert rows(index.top(5)) == rows(ranking.top_k(index.padded(index.bm25(), 5), 5))
+    assert rows(index.top(4, "tfidf", zeros=False, lower_first=False)) == rows(ranking.top_k(index.saturated_tfidf(), 4, lower_first=False))
+    named = spark.createDataFrame([(q, "a" if q % 2 else None) for q, _ in asked], "qid long, scope string")
+    all_scores = index.bm25().join(df.select("doc_id", F.col("scope").alias("s")), "doc_id").join(named, "qid").filter("scope is null or scope = s")
+    assert rows(index.top(5, zeros=False, scope=(df, named))) == rows(ranking.top_k(all_scores.select("qid", "doc_id", "score"), 5))
+    assert ranking.TermIndex(df.drop("scope").limit(0), spark.createDataFrame(asked, "qid long, query string")).top(3).count() == 0
